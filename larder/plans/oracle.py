@@ -558,20 +558,20 @@ QUERIES: dict[str, str] = {
             WHEN 7 THEN 'Em Separação' ELSE CAST(platform_status AS VARCHAR) END AS status_desc,
           CASE WHEN unmapped_items > 0 THEN CONCAT('⚠ ', unmapped_items, ' sem mapa')
                ELSE '' END AS alerta,
-          ROUND(invoiced, 4) AS valor_faturado,
-          ROUND(CASE WHEN both_there THEN items_value * {_FACTOR} END, 4) AS dif_icms,
-          ROUND(invoiced - items_value, 4) AS frete_imposto,
-          ROUND(invoiced + items_value * {_FACTOR}, 4) AS preco_real,
-          ROUND((invoiced + items_value * {_FACTOR} - items_value)
-                / NULLIF(items_value, 0) * 100, 4) AS pct_custo
+          invoiced AS valor_faturado,
+          CASE WHEN both_there THEN items_value * {_FACTOR} END AS dif_icms,
+          invoiced - items_value AS frete_imposto,
+          invoiced + items_value * {_FACTOR} AS preco_real,
+          (invoiced + items_value * {_FACTOR} - items_value)
+            / NULLIF(items_value, 0) * 100 AS pct_custo
         FROM (SELECT *, product_invoice_value + service_invoice_value AS invoiced,
                 product_invoice_value IS NOT NULL AND service_invoice_value IS NOT NULL AS both_there
               FROM {{q_summary}})""",
     "supplier_order_items": "SELECT * FROM {q_supplier_item}",
     "supplier_order_item_costs": f"""
-        SELECT * EXCLUDE (icms, freight, both_there, landed), ROUND(icms, 4) AS dif_icms,
-          ROUND(freight, 4) AS frete_imposto, ROUND(landed, 4) AS preco_real,
-          ROUND((landed - price_unit) / NULLIF(price_unit, 0) * 100, 4) AS pct_custo
+        SELECT * EXCLUDE (icms, freight, both_there, landed), icms AS dif_icms,
+          freight AS frete_imposto, landed AS preco_real,
+          (landed - price_unit) / NULLIF(price_unit, 0) * 100 AS pct_custo
         FROM (SELECT *, CASE WHEN both_there
                 THEN price_unit + COALESCE(freight, 0) + COALESCE(icms, 0) END AS landed
               FROM (SELECT i.*, s.product_invoice_value + s.service_invoice_value IS NOT NULL AS both_there,

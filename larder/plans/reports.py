@@ -496,7 +496,7 @@ def supplier_orders_filtered(t: TestTables) -> DataFrame:
 
 @report
 def supplier_order_costs(t: TestTables) -> DataFrame:
-    return _newest_first(plain(pricing.supplier_order_costs(_summary(t)), digits=4))
+    return _newest_first(plain(pricing.supplier_order_costs(_summary(t))))
 
 
 @report
@@ -509,7 +509,7 @@ def supplier_order_items(t: TestTables) -> DataFrame:
 @report
 def supplier_order_item_costs(t: TestTables) -> DataFrame:
     items = pricing.supplier_order_items(t.supplier_order_item, t.product)
-    return plain(pricing.supplier_order_item_costs(items, _summary(t)), digits=4).orderBy(
+    return plain(pricing.supplier_order_item_costs(items, _summary(t))).orderBy(
         asc("order_id"), asc("external_product_name")
     )
 

@@ -78,7 +78,8 @@ VIEWS: dict[str, str] = {
           CASE WHEN o_orderkey % 3 <> 0 THEN CONCAT('OLD-S', o_orderkey) END AS service_invoice_doc
         FROM {orders}""",
     "supplier_order_item": f"""
-        SELECT {_LINE_ID} AS id, l_orderkey AS order_id, l_linenumber AS platform_item_id,
+        SELECT {_LINE_ID} AS id, l_orderkey AS order_id,
+          CAST(l_linenumber AS BIGINT) AS platform_item_id,
           l_partkey + 100000 AS external_product_id,
           CONCAT('EXT ', p_name, ' ', p_brand) AS external_product_name,
           CASE p_type WHEN 'ECONOMY' THEN 'Sorvetes' WHEN 'SMALL' THEN 'ACAI'

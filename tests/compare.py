@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import math
 from pathlib import Path
 
 import duckdb
@@ -33,7 +32,7 @@ def _key(value):
     if isinstance(value, bool):
         return (1, str(value))
     if isinstance(value, float):
-        return (2, "nan") if math.isnan(value) else (2, f"{round(value, 6) + 0.0:.6f}")
+        return (2, repr(value + 0.0))
     if isinstance(value, datetime.datetime):
         return (3, value.isoformat())
     return (4, str(value))
