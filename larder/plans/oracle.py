@@ -235,6 +235,18 @@ PIECES: dict[str, str] = {
           ARG_MAX(service_invoice_doc, arrival)
             FILTER (WHERE service_invoice_doc IS NOT NULL) AS sid
         FROM {q_header} GROUP BY platform_order_id""",
+    "q_stream_items": """
+        SELECT i.arrival, COUNT(*) AS total_items, CAST(SUM(i.quantity) AS DOUBLE) AS total_qty,
+          CAST(SUM(CASE WHEN c.n > 1 THEN COALESCE(r.nfe, i.nfe_bling_id)
+                        ELSE i.nfe_bling_id END) AS BIGINT) AS nfe_sum
+        FROM {q_item} i
+        JOIN (SELECT platform_order_id, COUNT(*) AS n FROM {q_header} GROUP BY 1) c
+          ON c.platform_order_id = i.platform_order_id
+        LEFT JOIN (SELECT arrival, platform_item_id, ARG_MAX(nfe_bling_id, pos)
+                     FILTER (WHERE nfe_bling_id IS NOT NULL) AS nfe
+                   FROM {q_item} GROUP BY 1, 2) r
+          ON r.arrival = i.arrival AND r.platform_item_id = i.platform_item_id
+        GROUP BY i.arrival""",
     "q_item_target": """
         SELECT order_id, platform_item_id, arrival, pos, nfe_bling_id, sale_order_bling_id
         FROM (SELECT i.*, COALESCE(o.id, n.id) AS order_id,
@@ -602,6 +614,19 @@ QUERIES: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'frequency_type', tipo FROM {q_share}
         UNION ALL SELECT DISTINCT 'frequency_category', categoria FROM {q_share}
           WHERE categoria IS NOT NULL""",
+    # The stream starts from empty tables: every order is new.
+    "stream_order_ingest": f"""
+        SELECT f.platform_order_id, f.store_id, l.platform_status, CAST(l.total AS DOUBLE) AS total,
+          CAST(f.franchise_tax AS DOUBLE) AS franchise_tax, {_NOW} AS loaded_at, k.type_of_load,
+          k.vhsys, CAST(k.piv AS DOUBLE) AS product_invoice_value, k.pid AS product_invoice_doc,
+          CAST(k.siv AS DOUBLE) AS service_invoice_value, k.sid AS service_invoice_doc,
+          i.total_items, i.total_qty, i.nfe_sum
+        FROM {{q_numbered}} f
+        JOIN {{q_numbered}} l ON l.platform_order_id = f.platform_order_id AND l.copy_back = 1
+        JOIN {{q_kept}} k ON k.platform_order_id = f.platform_order_id
+        LEFT JOIN {{q_stream_items}} i ON i.arrival = f.arrival
+        WHERE f.copy = 1""",
+    "stream_weekly_consumption": "SELECT * FROM {consumption_weekly}",
     "constraint_violations": _constraint_sql(),
 }
 

@@ -6,6 +6,7 @@ doubles and ratios are rounded, so that two engines can be compared value by val
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from larder.operators import (
     settings,
     stock,
 )
+from larder.session import shared_folder
 from larder.sources.testdata import (
     CONSUMPTION_AS_OF,
     PLATFORM_AS_OF,
@@ -34,6 +36,7 @@ from larder.sources.testdata import (
     RANGE_START,
     TestTables,
 )
+from larder.streaming import order_ingest, weekly_consumption
 
 Plan = Callable[[TestTables], DataFrame]
 REPORTS: dict[str, Plan] = {}
@@ -594,6 +597,48 @@ def filter_options(t: TestTables) -> DataFrame:
     return options.orderBy(asc("filter"), asc("value"))
 
 
+# Streams: each runs to the end of its input in a folder of its own, then reads the state
+
+
+def _folder(t: TestTables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/larder/{name}-{uuid.uuid4().hex}"
+
+
+@report
+def stream_order_ingest(t: TestTables) -> DataFrame:
+    """Orders and their items after the documents, landed as JSON, were ingested."""
+    folder = _folder(t, "order-ingest")
+    t.documents.withColumnRenamed("arrival", "delivery").write.json(f"{folder}/landing")
+    order_ingest.start_order_ingest(
+        t.spark, f"{folder}/landing", folder, update_existing=True, as_of=PLATFORM_AS_OF
+    ).awaitTermination()
+    tables = order_ingest.order_tables(t.spark, folder)
+    per_order = tables.read(order_ingest.ITEMS).groupBy(F.col("order_id").alias("id")).agg(
+        F.count("id").alias("total_items"),
+        F.sum("quantity").alias("total_qty"),
+        F.sum("nfe_bling_id").alias("nfe_sum"),
+    )
+    orders = tables.read(order_ingest.ORDERS).drop("key_range", "service_note")
+    return plain(orders.join(per_order, "id", "left").drop("id"))
+
+
+@report
+def stream_weekly_consumption(t: TestTables) -> DataFrame:
+    """The weekly report from a stream over the history files."""
+    folder = _folder(t, "weekly-consumption")
+    history = (
+        t.spark.readStream.schema(t.events.schema)
+        .parquet(f"{t.sf_dir}/events.parquet*")  # a stream takes a folder or a pattern
+        .select(F.col("user_id").alias("product"), F.col("ts").alias("change_date"))
+    )
+    weekly_consumption.start_weekly_consumption(
+        history, folder, DAYS, CONSUMPTION_AS_OF
+    ).awaitTermination()
+    return weekly_consumption.read_weekly_consumption(
+        t.spark, folder, t.product, t.product_exclude
+    ).orderBy(asc("week"), asc("product_desc"))
+
+
 # Constraints
 
 
