@@ -286,9 +286,12 @@ def item_frequency(
 def item_frequency_pct(frequency: DataFrame) -> DataFrame:
     """Each item's orders as a percentage of the largest count, half to even.
 
-    The largest count is a scalar subquery: one number reaches the other rows.
+    The largest count is a scalar subquery: one number reaches the other rows. It is
+    taken together with the quantity only so that both plans read the same columns and
+    Spark runs their common part once.
     """
-    largest = frequency.select(F.max("num_pedidos").alias("n")).scalar()
+    top = F.max(F.struct("num_pedidos", "qty_total"))
+    largest = frequency.select(top["num_pedidos"].alias("n")).scalar()
     orders = F.col("num_pedidos").cast("double")
     return frequency.select(
         F.col("product_desc").alias("produto"),

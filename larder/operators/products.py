@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import contains_text, strip
 from larder.operators.merging import assign_ids, highest_id
-from larder.operators.stock import CLOSED, OPEN
+from larder.operators.stock import stock_per_product
 
 # Product status ids, display modes and stored exclusion reasons.
 ACTIVE, INACTIVE = 1, 2
@@ -28,18 +28,7 @@ def products_config(
     Positions and history are each reduced to one row per product first. A position
     id is a primary key, so counting rows is counting distinct positions.
     """
-    codes = status.select(F.col("id").alias("status"), "status_code")
-    held = (
-        positions.select("product", "status")
-        .join(codes, "status", "left")
-        .groupBy("product")
-        .agg(
-            F.count("*").alias("total_positions"),
-            F.count(F.when(F.col("status_code") == OPEN, 1)).alias("open_qty"),
-            F.count(F.when(F.col("status_code") == CLOSED, 1)).alias("closed_qty"),
-        )
-        .withColumnRenamed("product", "id")
-    )
+    held = stock_per_product(positions, status, how="left").withColumnRenamed("product", "id")
     moved = history.groupBy(F.col("product").alias("id")).agg(
         F.max("change_date").alias("last_movement")
     )

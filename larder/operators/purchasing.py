@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The purchase-order states and the steps allowed between them.
 DRAFT, CONFIRMED, SENT, RECEIVED = "RASCUNHO", "CONFIRMADO", "ENVIADO", "RECEBIDO"
+STATES = (DRAFT, CONFIRMED, SENT, RECEIVED)
 TRANSITIONS = (
     (DRAFT, CONFIRMED),
     (CONFIRMED, SENT),
@@ -58,13 +59,8 @@ def purchase_order_items(
     )
 
 
-def _judged(orders: DataFrame, requests: DataFrame) -> DataFrame:
-    current = orders.select(F.col("id").alias("order_id"), F.col("status").alias("from_status"))
-    step = F.struct("from_status", "new_status")
-    legal = step.isin([F.struct(F.lit(a), F.lit(b)) for a, b in TRANSITIONS])
-    return requests.join(current, "order_id", "left").withColumn(
-        "legal", F.coalesce(legal, F.lit(False))
-    )
+def _allowed_from(new_status: str) -> list[str]:
+    return [before for before, after in TRANSITIONS if after == new_status]
 
 
 def order_status_apply(
@@ -73,26 +69,42 @@ def order_status_apply(
     """The orders after a batch of status requests, with ``status_changed``.
 
     Each request is judged against the stored status, as the person asking saw it.
-    Where several are allowed for one order the last by ``arrival`` stands.
+    Where several are allowed for one order the last by ``arrival`` stands. Requests
+    are reduced to one row per order, with the last arrival per status asked for, so
+    the orders are joined once.
     """
     order = F.col(arrival) if arrival else F.lit(0)
-    granted = (
-        _judged(orders, requests)
-        .where("legal")
-        .groupBy(F.col("order_id").alias("id"))
-        .agg(F.max_by("new_status", order).alias("new_status"))
+    asked = requests.groupBy(F.col("order_id").alias("id")).agg(
+        *[F.max(F.when(F.col("new_status") == s, order)).alias(f"ask_{s}") for s in STATES]
     )
-    return orders.join(granted, "id", "left").select(
+    granted = F.array_max(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"ask_{s}").isNotNull() & F.col("status").isin(_allowed_from(s)),
+                    F.struct(F.col(f"ask_{s}").alias("at"), F.lit(s).alias("status")),
+                )
+                for s in STATES
+            ]
+        )
+    )["status"]
+    judged = orders.join(asked, "id", "left").withColumn("_granted", granted)
+    return judged.select(
         *[
-            F.coalesce("new_status", "status").alias("status") if name == "status" else F.col(name)
+            F.coalesce("_granted", "status").alias("status") if name == "status" else F.col(name)
             for name in orders.columns
         ],
-        F.col("new_status").isNotNull().alias("status_changed"),
+        F.col("_granted").isNotNull().alias("status_changed"),
     )
 
 
 def order_status_rejected(orders: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests that ask for a step not allowed from the stored status."""
-    return _judged(orders, requests).where(~F.col("legal")).select(
-        "order_id", "from_status", "new_status"
+    current = orders.select(F.col("id").alias("order_id"), F.col("status").alias("from_status"))
+    step = F.struct("from_status", "new_status")
+    legal = step.isin([F.struct(F.lit(a), F.lit(b)) for a, b in TRANSITIONS])
+    return (
+        requests.join(current, "order_id", "left")
+        .where(~F.coalesce(legal, F.lit(False)))
+        .select("order_id", "from_status", "new_status")
     )

@@ -20,14 +20,12 @@ def platform_average(
 ) -> DataFrame:
     """Mean quantity per order that contains the product, by mapped local product.
 
-    Lines are first reduced to one row per external product and order; the distinct
-    count of orders then runs as a two-step aggregate, so no product meets in one task.
+    The distinct count of orders runs as a two-step aggregate over product and order,
+    so no product meets in one task.
     """
-    recent = (
-        supplier_items.where(trailing_window(F.col("created_at"), PLATFORM_DAYS, as_of))
-        .groupBy("external_product_id", "order_id")
-        .agg(F.sum("quantity").alias("quantity"))
-    )
+    recent = supplier_items.where(
+        trailing_window(F.col("created_at"), PLATFORM_DAYS, as_of)
+    ).select("external_product_id", "order_id", "quantity")
     local = mapping.where(F.col("local_product_id").isNotNull()).select(
         "external_product_id", "local_product_id"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import contains_text, without_excluded
@@ -13,29 +13,27 @@ OPEN, CLOSED, EMPTY_TYPE = "OPEN", "CLOSED", "Vazio"
 NO_SETTINGS = {"min_qty": 0, "target_qty": 0, "period_days": 30}
 
 
-def _status_count(code: str):
-    return F.sum(F.when(F.col("status_code") == code, 1).otherwise(0))
-
-
 def _with_status(positions: DataFrame, status: DataFrame, how: str = "inner") -> DataFrame:
     return positions.join(status.select(F.col("id").alias("status"), "status_code"), "status", how)
 
 
+def _counted(code: str, n: Column) -> Column:
+    return F.sum(F.when(F.col("status_code") == code, n).otherwise(0))
+
+
+def _per_product_and_status(positions: DataFrame) -> DataFrame:
+    """A few rows per product, so that no status and no product is a hot join key."""
+    return positions.groupBy("product", "status").agg(F.count("*").alias("n"))
+
+
 def empty_positions_count(
     positions: DataFrame, product: DataFrame, status: DataFrame
 ) -> DataFrame:
-    """Closed positions that hold the free-position marker: one number.
-
-    Counted per product before the product table is joined, so a product with
-    very many positions is one row by then.
-    """
-    closed = _with_status(
-        positions.select("product", "status"), status.where(F.col("status_code") == CLOSED)
-    )
+    """Closed positions that hold the free-position marker: one number."""
+    closed = status.where(F.col("status_code") == CLOSED)
     markers = product.where(F.col("product_type") == EMPTY_TYPE)
     return (
-        closed.groupBy("product")
-        .agg(F.count("*").alias("n"))
+        _with_status(_per_product_and_status(positions), closed)
         .join(markers.select(F.col("id").alias("product")), "product", "left_semi")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("empty_positions"))
     )
@@ -54,8 +52,8 @@ def current_stock(
         .groupBy("product", "freezer")
         .agg(
             F.count("*").alias("total_positions"),
-            _status_count(OPEN).alias("open_qty"),
-            _status_count(CLOSED).alias("closed_qty"),
+            _counted(OPEN, F.lit(1)).alias("open_qty"),
+            _counted(CLOSED, F.lit(1)).alias("closed_qty"),
             F.max("update_date").alias("last_update"),
         )
     )
@@ -81,15 +79,21 @@ def current_stock(
     )
 
 
-def stock_per_product(positions: DataFrame, status: DataFrame) -> DataFrame:
-    """Positions, open and closed boxes per product over all freezers."""
+def stock_per_product(
+    positions: DataFrame, status: DataFrame, how: str = "inner"
+) -> DataFrame:
+    """Positions, open and closed boxes per product over all freezers.
+
+    With ``how="left"`` positions of an unknown status count in the total.
+    """
+    n = F.col("n")
     return (
-        _with_status(positions.select("product", "status"), status)
+        _with_status(_per_product_and_status(positions), status, how)
         .groupBy("product")
         .agg(
-            F.count("*").alias("total_positions"),
-            _status_count(OPEN).alias("open_qty"),
-            _status_count(CLOSED).alias("closed_qty"),
+            F.sum(n).alias("total_positions"),
+            _counted(OPEN, n).alias("open_qty"),
+            _counted(CLOSED, n).alias("closed_qty"),
         )
     )
 

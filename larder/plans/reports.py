@@ -28,7 +28,7 @@ from larder.operators import (
     settings,
     stock,
 )
-from larder.session import shared_folder
+from larder.session import shared_folder, staged
 from larder.sources.testdata import (
     CONSUMPTION_AS_OF,
     PLATFORM_AS_OF,
@@ -371,34 +371,29 @@ def normalize_order_items(t: TestTables) -> DataFrame:
     return plain(ingest.normalize_order_items(t.documents).drop("part"))
 
 
+# A merge uses its typed batch several times, so the batch is staged.
+
+
 @report
 def merge_orders_insert_only(t: TestTables) -> DataFrame:
+    headers = staged(_headers(t), "headers")
     return plain(
-        order_merge.merge_orders_insert_only(t.supplier_order, _headers(t), PLATFORM_AS_OF)
+        order_merge.merge_orders_insert_only(t.supplier_order, headers, PLATFORM_AS_OF)
     )
 
 
-def _merged(t: TestTables) -> DataFrame:
-    return order_merge.merge_orders_update(t.supplier_order, _headers(t), PLATFORM_AS_OF)
-
-
 @report
 def merge_orders_update(t: TestTables) -> DataFrame:
-    return plain(_merged(t))
+    headers = staged(_headers(t), "headers")
+    return plain(order_merge.merge_orders_update(t.supplier_order, headers, PLATFORM_AS_OF))
 
 
 def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
-    merge = (
-        order_merge.merge_orders_update if update_existing
-        else order_merge.merge_orders_insert_only
-    )
-    headers = _headers(t)
+    headers = staged(_headers(t), "headers")
+    items = staged(ingest.normalize_order_items(t.documents), "items")
+    orders = order_merge.merge_orders(t.supplier_order, headers, update_existing, PLATFORM_AS_OF)
     return order_merge.merge_order_items(
-        t.supplier_order_item,
-        merge(t.supplier_order, headers, PLATFORM_AS_OF),
-        headers,
-        ingest.normalize_order_items(t.documents),
-        update_existing,
+        t.supplier_order_item, orders, headers, items, update_existing
     )
 
 

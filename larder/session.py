@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Broadcasts are left to the optimizer, which compares measured sizes with
 # spark.sql.autoBroadcastJoinThreshold; skewed join partitions are split by AQE.
@@ -39,3 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to the shared folder and read back.
+
+    For input that a plan uses several times: it is computed once, its size is known
+    to the join planner, and a lost executor costs no recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/larder/staged-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
