@@ -371,32 +371,39 @@ def normalize_order_items(t: TestTables) -> DataFrame:
     return plain(ingest.normalize_order_items(t.documents).drop("part"))
 
 
-# A merge uses its typed batch several times, so the batch is staged.
+# The batch is used by several merges, so it is staged once it is typed and resolved.
 
 
-@report
-def merge_orders_insert_only(t: TestTables) -> DataFrame:
+def _resolved(t: TestTables, update_existing: bool) -> DataFrame:
     headers = staged(_headers(t), "headers")
-    return plain(
-        order_merge.merge_orders_insert_only(t.supplier_order, headers, PLATFORM_AS_OF)
+    return staged(
+        order_merge.resolve_orders(t.supplier_order, headers, update_existing), "resolved"
     )
 
 
-@report
-def merge_orders_update(t: TestTables) -> DataFrame:
-    headers = staged(_headers(t), "headers")
-    return plain(order_merge.merge_orders_update(t.supplier_order, headers, PLATFORM_AS_OF))
+def _merged_orders(t: TestTables, update_existing: bool) -> DataFrame:
+    return order_merge.merge_orders(
+        t.supplier_order, _resolved(t, update_existing), update_existing, PLATFORM_AS_OF
+    )
 
 
 def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
-    headers = staged(_headers(t), "headers")
     items = staged(ingest.normalize_order_items(t.documents), "items")
-    orders = order_merge.merge_orders(t.supplier_order, headers, update_existing, PLATFORM_AS_OF)
     return order_merge.merge_order_items(
-        t.supplier_order_item, orders, headers, items, update_existing
+        t.supplier_order_item, _resolved(t, update_existing), items, update_existing
     )
 
 
+@report
+def merge_orders_insert_only(t: TestTables) -> DataFrame:
+    return plain(_merged_orders(t, False))
+
+
+@report
+def merge_orders_update(t: TestTables) -> DataFrame:
+    return plain(_merged_orders(t, True))
+
+
 @report
 def merge_order_items(t: TestTables) -> DataFrame:
     return plain(_merged_items(t, True))
