@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import contains_text, strip
 from larder.operators.merging import assign_ids, highest_id
-from larder.operators.stock import stock_per_product
+from larder.operators.stock import CLOSED, OPEN
 
 # Product status ids, display modes and stored exclusion reasons.
 ACTIVE, INACTIVE = 1, 2
@@ -25,10 +25,26 @@ def products_config(
 ) -> DataFrame:
     """Every product with its positions, boxes, last movement and exclusion flag.
 
-    Positions and history are each reduced to one row per product first. A position
-    id is a primary key, so counting rows is counting distinct positions.
+    Positions and history are each reduced to one row per product first. Distinct
+    positions are counted in two steps, per position and then per product: that is one
+    shuffle by both columns, where three distinct counts would triple the rows.
     """
-    held = stock_per_product(positions, status, how="left").withColumnRenamed("product", "id")
+    codes = status.select(F.col("id").alias("status"), "status_code")
+    held = (
+        positions.select("product", F.col("id").alias("position"), "status")
+        .join(codes, "status", "left")
+        .groupBy("product", "position")
+        .agg(
+            F.bool_or(F.col("status_code") == OPEN).alias("open"),
+            F.bool_or(F.col("status_code") == CLOSED).alias("closed"),
+        )
+        .groupBy(F.col("product").alias("id"))
+        .agg(
+            F.count("position").alias("total_positions"),
+            F.count_if(F.col("open") & F.col("position").isNotNull()).alias("open_qty"),
+            F.count_if(F.col("closed") & F.col("position").isNotNull()).alias("closed_qty"),
+        )
+    )
     moved = history.groupBy(F.col("product").alias("id")).agg(
         F.max("change_date").alias("last_movement")
     )

@@ -13,8 +13,8 @@ OPEN, CLOSED, EMPTY_TYPE = "OPEN", "CLOSED", "Vazio"
 NO_SETTINGS = {"min_qty": 0, "target_qty": 0, "period_days": 30}
 
 
-def _with_status(positions: DataFrame, status: DataFrame, how: str = "inner") -> DataFrame:
-    return positions.join(status.select(F.col("id").alias("status"), "status_code"), "status", how)
+def _with_status(positions: DataFrame, status: DataFrame) -> DataFrame:
+    return positions.join(status.select(F.col("id").alias("status"), "status_code"), "status")
 
 
 def _counted(code: str, n: Column) -> Column:
@@ -79,16 +79,11 @@ def current_stock(
     )
 
 
-def stock_per_product(
-    positions: DataFrame, status: DataFrame, how: str = "inner"
-) -> DataFrame:
-    """Positions, open and closed boxes per product over all freezers.
-
-    With ``how="left"`` positions of an unknown status count in the total.
-    """
+def stock_per_product(positions: DataFrame, status: DataFrame) -> DataFrame:
+    """Positions, open and closed boxes per product over all freezers."""
     n = F.col("n")
     return (
-        _with_status(_per_product_and_status(positions), status, how)
+        _with_status(_per_product_and_status(positions), status)
         .groupBy("product")
         .agg(
             F.sum(n).alias("total_positions"),
