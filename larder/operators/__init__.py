@@ -1,4 +1,5 @@
 """Operators: functions from DataFrames to DataFrames, lazy and without side effects.
 
-Results are unordered; ``larder.plans.reports`` holds the sort order of each report.
+Results are unordered unless a docstring says so; ``larder.plans.reports`` holds the
+sort order of each report.
 """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import (
+    asc,
     contains_text,
     load_type_label,
     number_starts_with,
@@ -98,16 +99,17 @@ def supplier_order_costs(summary: DataFrame) -> DataFrame:
 def supplier_order_items(
     items: DataFrame, product: DataFrame, order_id: int | None = None
 ) -> DataFrame:
-    """Items with the name of their local product, of one order or of all."""
+    """Items with the name of their local product, of all orders, or sorted of one."""
     if order_id is not None:
         items = items.where(F.col("order_id") == order_id)
     names = product.select(
         F.col("id").alias("local_product_id"), F.col("description").alias("local_product_desc")
     )
-    return items.join(names, "local_product_id", "left").select(
+    rows = items.join(names, "local_product_id", "left").select(
         "id", "order_id", "external_product_id", "external_product_name", "external_category",
         "quantity", "price_unit", "created_at", "local_product_id", "local_product_desc",
     )
+    return rows if order_id is None else rows.orderBy(asc("external_product_name"))
 
 
 def supplier_order_item_costs(items: DataFrame, summary: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions import asc
+
 # The purchase-order states and the steps allowed between them.
 DRAFT, CONFIRMED, SENT, RECEIVED = "RASCUNHO", "CONFIRMADO", "ENVIADO", "RECEBIDO"
 STATES = (DRAFT, CONFIRMED, SENT, RECEIVED)
@@ -46,17 +48,20 @@ def purchase_order_metrics(summary: DataFrame) -> DataFrame:
 def purchase_order_items(
     items: DataFrame, product: DataFrame, order_id: int | None = None
 ) -> DataFrame:
-    """Items with their product name, of one order or of all."""
+    """Items with their product name, of all orders, or sorted of one."""
     if order_id is not None:
         items = items.where(F.col("order_id") == order_id)
     names = product.select(
         F.col("id").alias("product"), F.col("description").alias("product_desc"), "product_type"
     )
-    return items.join(names, "product").select(
+    rows = items.join(names, "product").select(
         "order_id", "product_desc", "product_type", "current_stock", "min_qty", "target_qty",
         "avg_daily_consumption", "suggested_qty", "confirmed_qty", "supplier_available",
         "supplier_price", "notes",
     )
+    if order_id is None:
+        return rows
+    return rows.orderBy(F.col("confirmed_qty").desc_nulls_last(), asc("product_desc"))
 
 
 def _allowed_from(new_status: str) -> list[str]:

@@ -319,9 +319,7 @@ def purchase_order_metrics(t: TestTables) -> DataFrame:
 
 @report
 def purchase_order_items(t: TestTables) -> DataFrame:
-    return plain(purchasing.purchase_order_items(t.purchase_order_item, t.product)).orderBy(
-        asc("order_id"), F.col("confirmed_qty").desc_nulls_last(), asc("product_desc")
-    )
+    return plain(purchasing.purchase_order_items(t.purchase_order_item, t.product))
 
 
 @report
@@ -506,17 +504,13 @@ def supplier_order_costs(t: TestTables) -> DataFrame:
 
 @report
 def supplier_order_items(t: TestTables) -> DataFrame:
-    return plain(pricing.supplier_order_items(t.supplier_order_item, t.product)).orderBy(
-        asc("order_id"), asc("external_product_name")
-    )
+    return plain(pricing.supplier_order_items(t.supplier_order_item, t.product))
 
 
 @report
 def supplier_order_item_costs(t: TestTables) -> DataFrame:
     items = pricing.supplier_order_items(t.supplier_order_item, t.product)
-    return plain(pricing.supplier_order_item_costs(items, _summary(t))).orderBy(
-        asc("order_id"), asc("external_product_name")
-    )
+    return plain(pricing.supplier_order_item_costs(items, _summary(t)))
 
 
 def _priced(t: TestTables) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +31,18 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"larder-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     Only where the cluster names none (a local run) is a temporary one made.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="larder-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

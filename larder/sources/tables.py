@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import schemas
+from larder.functions import moment
+from larder.functions.predicates import Moment
+
+MONTH = "change_month"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,3 +53,34 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def append_table(df: DataFrame, folder: str, name: str) -> None:
     """Adds rows to a stored table."""
     conform(df, name).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def append_history(df: DataFrame, folder: str) -> None:
+    """Adds position changes, filed by month so that a report opens recent months only."""
+    rows = conform(df, "freezer_position_history")
+    rows.withColumn(MONTH, F.trunc(F.to_date("change_date"), "month")).write.mode(
+        "append"
+    ).partitionBy(MONTH).parquet(f"{folder}/freezer_position_history")
+
+
+def read_recent_history(
+    spark: SparkSession, folder: str, days: int, as_of: Moment = None
+) -> DataFrame:
+    """Position changes of the months that the last ``days`` days reach into."""
+    schema = schemas.TABLES["freezer_position_history"]
+    first = F.trunc(F.to_date(moment(as_of) - F.make_dt_interval(F.lit(days))), "month")
+    rows = spark.read.schema(f"{_ddl(schema)}, {MONTH} date").parquet(
+        f"{folder}/freezer_position_history"
+    )
+    return rows.where(F.col(MONTH) >= first).select(*schema.fieldNames())
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema.fields)
+
+
+def read_availability_feed(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The supplier's answers as JSON lines; None where no feed is set up."""
+    if not path:
+        return None
+    return spark.read.schema(schemas.TABLES["supplier_availability"]).json(path)
