@@ -41,7 +41,7 @@ def save_purchase_order(
     )
     if built.isEmpty():
         return None
-    key_range = order_id // tables.range_width
+    key_range = order_id // tables.range_width % tables.range_count
     header = built.withColumn("id", F.col("order_id")).select(
         *[name for name in schemas.TABLES[HEADER].fieldNames()]
     ).distinct()

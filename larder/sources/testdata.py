@@ -257,11 +257,11 @@ def order_documents(headers: DataFrame, invoices: DataFrame, items: DataFrame) -
         items.join(sizes, "src_key")
         .withColumn("part", spread.cast("int"))
         .groupBy("src_key", "part")
-        .agg(F.array_sort(F.collect_list(line)).alias("orderItems"))
+        .agg(F.sort_array(F.collect_list(line)).alias("orderItems"))
     )
     invoice = F.struct("pos", "f2_chvnfe", "f2_valfat", "f2_doc")
     nested_invoices = invoices.groupBy("arrival").agg(
-        F.array_sort(F.collect_list(invoice)).alias("invoices")
+        F.sort_array(F.collect_list(invoice)).alias("invoices")
     )
     types = {field.name: field.dataType for field in schemas.ORDER_DOCUMENT.fields}
     order_items = F.transform(

@@ -238,3 +238,21 @@ def test_pages_and_load_types(spark, tmp_path):
     rows = both.orderBy("arrival").collect()
     assert len(rows) == 12 and len({r.arrival for r in rows}) == 12
     assert {r.id for r in rows[:6]} <= {1, 2} and {r.id for r in rows[6:]} <= {2, 3}
+
+
+def test_broken_documents_stop_the_import(spark, tmp_path):
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"id": 1, "total": 5}\n{"id": 2, "orderItems": [')
+    tables = order_ingest.order_tables(spark, str(tmp_path / "tables"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ_FILE"):
+        order_ingest.merge_batch(tables, read_order_lines(spark, str(lines)), 0)
+    assert tables.read(order_ingest.ORDERS).count() == 0
+
+
+def test_numbers_and_text_amounts(spark, tmp_path):
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"id": 1, "total": 12.5, "franchise_tax": "1,25", "unknown": {"a": 1}}')
+    tables = order_ingest.order_tables(spark, str(tmp_path / "tables"))
+    order_ingest.merge_batch(tables, read_order_lines(spark, str(lines)), 0)
+    row = tables.read(order_ingest.ORDERS).first()
+    assert (row.total, row.franchise_tax) == (Decimal("12.50"), Decimal("1.25"))
