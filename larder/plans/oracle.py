@@ -307,10 +307,16 @@ PIECES["q_items_after_insert"] = """
         SELECT *, 'unchanged' AS action FROM {supplier_order_item}
         UNION ALL BY NAME SELECT *, 'inserted' AS action FROM {q_new_item}"""
 
-PRICE_COLUMNS = (
-    "produto, tipo, categoria, ROUND(qtd_total, 4) AS qtd_total, "
-    "ROUND(preco_unit_medio, 4) AS preco_unit_medio, ROUND(dif_por_caixa, 4) AS dif_por_caixa, "
-    "ROUND(preco_real_medio, 4) AS preco_real_medio, ROUND(pct_custo, 4) AS pct_custo"
+
+
+def _rounded(value: str, name: str) -> str:
+    """Four digits; the small addend keeps exact ties from going either way."""
+    return f"ROUND({value} + 1e-9, 4) AS {name}"
+
+
+PRICE_COLUMNS = "produto, tipo, categoria, " + ", ".join(
+    _rounded(name, name)
+    for name in ("qtd_total", "preco_unit_medio", "dif_por_caixa", "preco_real_medio", "pct_custo")
 )
 
 UNIQUE = [
@@ -595,13 +601,13 @@ QUERIES: dict[str, str] = {
     "price_items": "SELECT * FROM {q_priced}",
     "price_average": f"SELECT {PRICE_COLUMNS} FROM {{q_average}}",
     "price_average_filtered": f"SELECT {PRICE_COLUMNS} FROM {{q_average_shown}}",
-    "price_average_by_category": """
-        SELECT categoria, ROUND(q, 4) AS qtd_total, ROUND(u, 4) AS preco_unit_medio,
-          ROUND(r, 4) AS preco_real_medio, ROUND(r - u, 4) AS dif_por_caixa
+    "price_average_by_category": f"""
+        SELECT categoria, {_rounded('q', 'qtd_total')}, {_rounded('u', 'preco_unit_medio')},
+          {_rounded('r', 'preco_real_medio')}, {_rounded('r - u', 'dif_por_caixa')}
         FROM (SELECT categoria, SUM(qtd_total) AS q,
                 SUM(preco_unit_medio * qtd_total) / NULLIF(SUM(qtd_total), 0) AS u,
                 SUM(preco_real_medio * qtd_total) / NULLIF(SUM(qtd_total), 0) AS r
-              FROM {q_average_shown} GROUP BY categoria)""",
+              FROM {{q_average_shown}} GROUP BY categoria)""",
     "item_frequency": "SELECT * FROM {q_frequency}",
     "item_frequency_pct": "SELECT * FROM {q_share}",
     "item_frequency_filtered": f"""

@@ -52,13 +52,17 @@ def report(plan: Plan) -> Plan:
 
 
 def plain(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Decimals as doubles; with ``digits``, the doubles among the columns rounded."""
+    """Decimals as doubles; with ``digits``, the doubles among the columns rounded.
+
+    Sums of doubles differ in their last bits with the order of the rows. The small
+    addend keeps exact ties from being rounded either way.
+    """
 
     def value(field: T.StructField):
         if isinstance(field.dataType, T.DecimalType):
             return F.col(field.name).cast("double").alias(field.name)
         if isinstance(field.dataType, T.DoubleType) and digits is not None:
-            return F.round(field.name, digits).alias(field.name)
+            return F.round(F.col(field.name) + F.lit(1e-9), digits).alias(field.name)
         return F.col(field.name)
 
     return df.select(*[value(field) for field in df.schema.fields])
