@@ -36,8 +36,8 @@ def merge_by_key(
 ) -> DataFrame:
     """Stored rows with a change take ``update``; ``new_rows`` are added.
 
-    ``changes`` has one row per key. In ``update`` the stored row is ``t`` and the
-    change is ``c``. A column that ``new_rows`` lacks becomes NULL. The result has
+    ``changes`` has one row per key (see ``last_per_key``). In ``update`` the stored row
+    is ``t`` and the change is ``c``. A column that ``new_rows`` lacks becomes NULL. The result has
     the target's columns and ``action``.
     """
     marked = changes.withColumn("_changed", F.lit(True)).alias("c")

@@ -20,12 +20,32 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "larder", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_BYTES = 256 * 1024**2
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings for an input of this size: enough shuffle partitions to fit in memory.
+
+    AQE joins partitions that turn out small, so the number may be too high but not
+    too low; the default of 200 would make partitions of hundreds of gigabytes.
+    """
+    partitions = min(max(-(-input_bytes // SHUFFLE_BYTES), 200), 65_536)
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(SHUFFLE_BYTES),
+    }
+
+
+def build_session(
+    app: str = "larder", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings above; ``conf`` uses ``__`` for dots in names."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = DEFAULTS | {name.replace("__", "."): value for name, value in conf.items()}
+    sized = {} if input_bytes is None else sized_for(input_bytes)
+    settings = DEFAULTS | sized | {name.replace("__", "."): value for name, value in conf.items()}
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
