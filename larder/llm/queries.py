@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import toxicity
+from larder.llm import host_rules, language_id, mixing, packing, quality_classifier, toxicity, warc
 from larder.llm.common import id_share, read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score; predicted from 0.5 on."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.classify_quality(documents, read(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity score; predicted from 0.7 on."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,8 +28,74 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and whether the rules keep it."""
+    documents = read(spark, sf_dir, "documents")
+    judged = host_rules.judge(documents.select("doc_id", "source", "text"), ["doc_id", "source"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
+    import public_tokenizers
+
+    documents = read(spark, sf_dir, "documents")
+    return packing.packed_digests(documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives says."""
+    pages = read(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    manifest = warc.write_archives(pages, folder)
+    return warc.read_archives(manifest, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language its text is predicted to be in."""
+    documents = read(spark, sf_dir, "documents")
+    model = language_id.fit_languages(documents)
+    return language_id.predict_languages(documents.select("doc_id", "text"), model).select(
+        "doc_id", (id_share(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words the mixture takes of it."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_host_rules": op4_host_rules,
+    "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
+    "op8_language": op8_language,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages
+        ), last AS (
+          SELECT body, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY body
+        )
+        SELECT p.page_id, p.n AS payload_bytes, sha1(p.body) AS payload_digest,
+               CASE WHEN p.page_id < l.original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id < l.original THEN l.original END AS refers_to
+        FROM p LEFT JOIN last l ON p.body = l.body AND p.n >= 1000
+    """,
+}
