@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -96,21 +95,27 @@ def with_columns(
     return df.mapInArrow(run, schema)
 
 
-def tree_sum(parts: DataFrame, column: str = "part") -> np.ndarray | None:
-    """The sum of float64 arrays held as bytes, one a row; added in rounds, not in one task.
+def tree_reduce(
+    parts: DataFrame, dtype: type, plus: Callable[[np.ndarray, np.ndarray], np.ndarray], column: str = "part"
+) -> np.ndarray | None:
+    """Arrays held as bytes, one a row, put together in rounds and not all in one task.
 
     None without rows. Every array has the same, bounded length.
     """
-    rows = parts.select(column).rdd.map(lambda row: np.frombuffer(row[0], dtype=np.float64))
-    empty = np.zeros(0)
+    rows = parts.select(column).rdd.map(lambda row: np.frombuffer(row[0], dtype=dtype))
 
-    def plus(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return right if not len(left) else left if not len(right) else add(left, right)
+    def either(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return right if not len(left) else left if not len(right) else plus(left, right)
 
-    total = rows.treeAggregate(empty, plus, plus, depth=2)
+    total = rows.treeAggregate(np.zeros(0, dtype=dtype), either, either, depth=2)
     return total if len(total) else None
 
 
+def tree_sum(parts: DataFrame) -> np.ndarray | None:
+    """The sum of float64 arrays held as bytes, one a row."""
+    return tree_reduce(parts, np.float64, np.add)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for each node of the edges (a, b): the smallest node it is connected to.
 
@@ -145,8 +150,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
-    roots = current.groupBy("a").agg(F.min("b").alias("root"))
-    return roots.select(F.col("a").alias("node"), "root")
+    roots = current.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    tops = roots.select("root").distinct()
+    return roots.unionByName(tops.select(F.col("root").alias("node"), "root"))
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import host_rules, language_id, mixing, packing, quality_classifier, toxicity, warc
+from larder.llm import host_rules, jaccard_join, language_id, mixing, packing, quality_classifier, toxicity, warc
 from larder.llm.common import id_share, read
 
 
@@ -16,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of similar documents it is in."""
+    return jaccard_join.similar_components(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity score; predicted from 0.7 on."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +83,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard": op2_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_host_rules": op4_host_rules,
     "op5_packing": op5_packing,
