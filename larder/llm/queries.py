@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import host_rules, jaccard_join, language_id, mixing, packing, quality_classifier, toxicity, warc
+from larder.llm import (
+    host_rules,
+    jaccard_join,
+    language_id,
+    mixing,
+    neighbours,
+    packing,
+    quality_classifier,
+    toxicity,
+    url_filter,
+    warc,
+)
 from larder.llm.common import id_share, read
 
 
@@ -60,6 +71,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the verdict on its URL."""
+    judged = url_filter.judge(read(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the language its text is predicted to be in."""
     documents = read(spark, sf_dir, "documents")
@@ -81,6 +98,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), modulus=20, k=20)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -88,8 +110,10 @@ QUERIES = {
     "op4_host_rules": op4_host_rules,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE_SQL = {
