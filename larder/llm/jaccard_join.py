@@ -23,14 +23,13 @@ their links are joined to components afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, fresh, stage, tree_reduce
+from larder.llm.common import components, stage, tree_reduce
 from larder.llm.textarrays import Words, mix, words_of
 
 NUM, DEN = 90, 100
@@ -381,23 +380,17 @@ def drop_similar(documents: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id, columns as they were.
 
     Rows without words or without doc_id stay. Of rows that repeat the smallest doc_id one
-    stays.
+    stays, that with the smallest hash of its text. ``documents`` is read several times and
+    should be a stored table.
     """
-    row, doc, text = fresh(documents, "row0", "doc0", "text0")
-    place = {name: i for i, name in enumerate(documents.columns)}
     plain = [f"c{i}" for i in range(len(documents.columns))]
-    numbered = stage(
-        documents.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "numbered", "zstd"
-    )
-    ids, texts = plain[place["doc_id"]], plain[place["text"]]
-    found = similar_components(numbered.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text")))
-    kept = found.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = numbered.join(kept, F.col(ids).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = rows.groupBy(F.col(ids).alias("of")).agg(F.min("row").alias("least"))
-    empty = ~F.coalesce(F.col(texts).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    alone = rows.where(empty | F.col(ids).isNull())
-    rest = rows.where(~empty & F.col(ids).isNotNull()).join(
-        first, (F.col(ids) == F.col("of")) & (F.col("row") == F.col("least")), "left_semi"
-    )
-    return alone.unionByName(rest).select(*plain).toDF(*documents.columns)
+    place = {name: plain[i] for i, name in enumerate(documents.columns)}
+    rows = documents.toDF(*plain)
+    ids, texts = F.col(place["doc_id"]), F.col(place["text"])
+    found = similar_components(rows.select(ids.alias("doc_id"), texts.alias("text")))
+    kept = found.where("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct()
+    alone = ids.isNull() | ~F.coalesce(texts.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = rows.where(~alone).join(kept, ids == F.col("doc_id"), "left_semi")
+    repeats = Window.partitionBy(ids).orderBy(F.xxhash64(texts))
+    first = chosen.withColumn("turn", F.row_number().over(repeats)).where("turn = 1").drop("turn")
+    return rows.where(alone).unionByName(first).toDF(*documents.columns)

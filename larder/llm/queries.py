@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +115,79 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_neighbours": op10_neighbours,
+    "pipeline": corpus_pipeline.run,
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 ORACLE_SQL = {
+    "op2_jaccard": rf"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+        ), shingles AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+          FROM words
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b
+            ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+          SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+          WHERE 100 * shared >= 90 * (p.n + q.n - shared)
+        ), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (
+          SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.other = e.x
+        )
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op4_host_rules": rf"""
+        WITH texts AS (
+          SELECT doc_id, source, coalesce(text, '') AS t,
+                 regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+          FROM documents
+        ), starts AS (
+          SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+                 unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+          FROM texts WHERE len(w) >= 3
+        ), twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM starts),
+        covered AS (
+          SELECT doc_id, count(DISTINCT p) AS n FROM
+            (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE c > 1) GROUP BY doc_id
+        ), counts AS (
+          SELECT x.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                 len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                 coalesce(c.n, 0) AS n_repeat_words
+          FROM texts x LEFT JOIN covered c ON c.doc_id = x.doc_id
+        ), tested AS (
+          SELECT *, CAST(10 * n_symbols > word_chars AS INT) AS f1, CAST(10 * n_dup_lines > 3 * n_lines AS INT) AS f2,
+                 CAST(100 * n_repeat_words > 30 * n_words AS INT) AS f3,
+                 CAST(word_chars > 15 * n_words OR word_chars < 2 * n_words AS INT) AS f4
+          FROM counts
+        ), hosts AS (
+          SELECT source, count(*) AS n, unnest([1, 2, 3, 4]) AS rule, unnest([sum(f1), sum(f2), sum(f3), sum(f4)]) AS f
+          FROM tested GROUP BY source
+        ), means AS (
+          SELECT rule, sum(f) / sum(n) AS m, sum(n) AS total, count(*) AS hosts FROM hosts GROUP BY rule
+        ), priors AS (
+          SELECT rule, m, least(greatest(m * (1 - m) /
+                   greatest(sum(n * (f / n - m) ** 2) / any_value(total) - m * (1 - m) * any_value(hosts) / any_value(total), 1e-9)
+                   - 1, 1.0), 10000.0) AS strength
+          FROM hosts JOIN means USING (rule) GROUP BY rule, m
+        ), verdicts AS (
+          SELECT source, max((f + m * strength) / (n + strength)) AS worst FROM hosts JOIN priors USING (rule) GROUP BY source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+                 AND worst <= 0.5 AND (worst < 0.01 OR f1 + f2 + f3 + f4 = 0) AS kept
+        FROM tested t JOIN verdicts v ON v.source IS NOT DISTINCT FROM t.source
+    """,
     "op6_warc": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages
