@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.common import stage
 from larder.session import shared_folder
 
 SHARD_BYTES = 64 * 1024**2
@@ -156,23 +157,14 @@ def write_archives(
     responses. The manifest (file, records, bytes) is stored beside the files.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("n_bytes"))
-    digest = F.sha1("html")
-    copies = (
-        rows.where((F.col("n_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
-        .groupBy(digest.alias("digest"))
-        .agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "original")
-    )
-    marked = rows.join(copies, digest == F.col("digest"), "left").select(
-        "page_id",
-        "url",
-        "html",
-        "n_bytes",
-        F.when((F.col("page_id") < F.col("original")) & (F.col("n_bytes") >= LEAST_REVISIT), F.col("original")).alias("refers_to"),
-    )
-    sharded, count = _sharded(rows.select("page_id", "n_bytes"), shard_bytes)
+    rows = pages.select("page_id", "url", html.alias("html"))
+    sizes = rows.select("page_id", F.octet_length("html").alias("n_bytes"), F.sha1("html").alias("digest"))
+    sizes = stage(sizes, "payloads")
+    able = sizes.where((F.col("n_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    copies = able.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    revisits = able.join(copies.where("n > 1"), F.col("digest") == F.col("of")).where("page_id < refers_to")
+    revisits = revisits.select("page_id", "digest", "refers_to").distinct()
+    sharded, count = _sharded(sizes.select("page_id", "n_bytes"), shard_bytes)
     shard_of = sharded.groupBy("shard").agg(F.min("page_id").alias("first")).where("first IS NOT NULL")
     starts = sorted((row["first"], row["shard"]) for row in shard_of.collect())
     if starts:
@@ -180,16 +172,28 @@ def write_archives(
         shard = F.greatest(F.size(F.filter(thresholds, lambda x: x <= F.col("page_id"))), F.lit(1)) - 1
     else:
         shard = F.lit(0)
-    placed = marked.withColumn("shard", F.coalesce(shard, F.lit(0)))
-    ordered = placed.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    # The payloads move once: marks of revisits travel to the shards on rows of their own.
+    marks = revisits.withColumn("mark", F.lit(0))
+    everything = rows.withColumn("mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    placed = everything.withColumn("shard", F.coalesce(shard, F.lit(0)))
+    order = ("shard", "page_id", "mark", "url", "html")
+    ordered = placed.repartition(count, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = _Writer(folder, roll_bytes)
+        writer, marked, of_page = _Writer(folder, roll_bytes), {}, None
         for batch in batches:
-            columns = [batch.column(name) for name in ("page_id", "url", "html", "refers_to", "shard")]
+            names = ("page_id", "url", "html", "mark", "digest", "refers_to", "shard")
+            columns = [batch.column(name) for name in names]
             for i in range(batch.num_rows):
-                page_id, url, text, refers_to, of = (column[i].as_py() for column in columns)
-                writer.add(of, _record(page_id, url, text.encode(), refers_to))
+                page_id, url, text, mark, digest, refers_to, of = (column[i].as_py() for column in columns)
+                if page_id != of_page:
+                    marked, of_page = {}, page_id
+                if not mark:
+                    marked[digest] = refers_to
+                    continue
+                payload = text.encode()
+                original = marked.get(hashlib.sha1(payload).hexdigest()) if marked else None
+                writer.add(of, _record(page_id, url, payload, original))
             if writer.done:
                 yield writer.finished()
         yield writer.finished(last=True)
