@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import moment
 from larder.functions.predicates import Moment
-from larder.operators.merging import merge_by_key, unknown_rows
+from larder.operators.merging import last_per_key, merge_by_key, unknown_rows
 from larder.operators.products import ACTIVE
 
 # Item categories that need a local product, and the label suffix.
@@ -30,10 +30,14 @@ def product_mapping_list(mapping: DataFrame, product: DataFrame) -> DataFrame:
 
 
 def product_mapping_upsert(
-    mapping: DataFrame, edits: DataFrame, as_of: Moment = None
+    mapping: DataFrame, edits: DataFrame, as_of: Moment = None, arrival: str | None = None
 ) -> DataFrame:
-    """The mapping after edits, one per external id; a NULL local id is a value too."""
+    """The mapping after edits; a NULL local id is a value too.
+
+    Of several edits of an external id the last by ``arrival`` stands.
+    """
     now, keys = moment(as_of), ["external_product_id"]
+    edits = last_per_key(edits, keys, arrival)
     return merge_by_key(
         mapping,
         edits,

@@ -102,9 +102,15 @@ def assign_ids(
     ).drop("_bucket", "_place", "_start")
 
 
-def last_per_key(changes: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
-    """One change per key, the one that arrived last; combines before the shuffle."""
-    others = [name for name in changes.columns if name not in keys]
-    return changes.groupBy(*keys).agg(
-        F.max_by(F.struct(*others), F.col(arrival)).alias("_row")
-    ).select(*keys, "_row.*")
+def last_per_key(
+    changes: DataFrame, keys: Sequence[str], arrival: str | None = None
+) -> DataFrame:
+    """One change per key, the one that arrived last; combines before the shuffle.
+
+    Without ``arrival``, and among changes that arrived together, the largest values win.
+    """
+    others = F.struct(*[name for name in changes.columns if name not in keys])
+    order = F.struct(F.col(arrival), others) if arrival else others
+    return changes.groupBy(*keys).agg(F.max_by(others, order).alias("_row")).select(
+        *keys, "_row.*"
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import contains_text, strip
-from larder.operators.merging import assign_ids, highest_id
+from larder.operators.merging import assign_ids, highest_id, last_per_key
 from larder.operators.stock import CLOSED, OPEN
 
 # Product status ids, display modes and stored exclusion reasons.
@@ -25,24 +25,20 @@ def products_config(
 ) -> DataFrame:
     """Every product with its positions, boxes, last movement and exclusion flag.
 
-    Positions and history are each reduced to one row per product first. Distinct
-    positions are counted in two steps, per position and then per product: that is one
-    shuffle by both columns, where three distinct counts would triple the rows.
+    Positions and history are each reduced to one row per product first, positions by way
+    of their status, so the status table meets a few rows per product. A position is one
+    row; ``constraint_violations`` finds repeated ids.
     """
     codes = status.select(F.col("id").alias("status"), "status_code")
     held = (
-        positions.select("product", F.col("id").alias("position"), "status")
+        positions.groupBy("product", "status")
+        .agg(F.count("id").alias("n"))
         .join(codes, "status", "left")
-        .groupBy("product", "position")
-        .agg(
-            F.bool_or(F.col("status_code") == OPEN).alias("open"),
-            F.bool_or(F.col("status_code") == CLOSED).alias("closed"),
-        )
         .groupBy(F.col("product").alias("id"))
         .agg(
-            F.count("position").alias("total_positions"),
-            F.count_if(F.col("open") & F.col("position").isNotNull()).alias("open_qty"),
-            F.count_if(F.col("closed") & F.col("position").isNotNull()).alias("closed_qty"),
+            F.sum("n").alias("total_positions"),
+            F.sum(F.when(F.col("status_code") == OPEN, F.col("n")).otherwise(0)).alias("open_qty"),
+            F.sum(F.when(F.col("status_code") == CLOSED, F.col("n")).otherwise(0)).alias("closed_qty"),
         )
     )
     moved = history.groupBy(F.col("product").alias("id")).agg(
@@ -125,9 +121,17 @@ def product_flags_counts(diff: DataFrame) -> DataFrame:
     )
 
 
-def product_status_update(product: DataFrame, edits: DataFrame) -> DataFrame:
-    """The product table with the status of each edited product set."""
-    wanted = edits.select(
+def _last_flags(edits: DataFrame, flag: str, arrival: str | None) -> DataFrame:
+    """The flag each product was edited to last."""
+    order = [arrival] if arrival else []
+    return last_per_key(edits.select("id", flag, *order), ["id"], arrival)
+
+
+def product_status_update(
+    product: DataFrame, edits: DataFrame, arrival: str | None = None
+) -> DataFrame:
+    """The product table with the status of each edited product set, by its last edit."""
+    wanted = _last_flags(edits, "ativo", arrival).select(
         "id", F.when(F.col("ativo"), ACTIVE).otherwise(INACTIVE).alias("new_status")
     )
     return product.join(wanted, "id", "left").select(
@@ -139,9 +143,16 @@ def product_status_update(product: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def product_exclude_apply(
-    exclude: DataFrame, edits: DataFrame, reason: str | None = PLACEHOLDER_REASON
+    exclude: DataFrame,
+    edits: DataFrame,
+    reason: str | None = PLACEHOLDER_REASON,
+    arrival: str | None = None,
 ) -> DataFrame:
-    """The exclusion table after edits: true adds or rewords a row, false removes it."""
+    """The exclusion table after edits: true adds or rewords a row, false removes it.
+
+    Of several edits of a product the last by ``arrival`` stands.
+    """
+    edits = _last_flags(edits, "excluir_calculos", arrival)
     kept = exclude.join(edits.select(F.col("id").alias("product_id")), "product_id", "left_anti")
     added = edits.where("excluir_calculos").select(
         F.col("id").alias("product_id"), F.lit(reason).cast("string").alias("reason")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import at_least_zero, moment, ratio, trailing_window, without_excluded
 from larder.functions.predicates import Moment
 from larder.operators.consumption import consumed_per_product
+from larder.operators.merging import last_per_key
 from larder.operators.products import ACTIVE
 from larder.operators.stock import stock_per_product
 
@@ -125,14 +126,15 @@ def suggestion_metrics(suggestions: DataFrame) -> DataFrame:
     )
 
 
-def _feed_answers(feed: DataFrame) -> DataFrame:
-    """The feed's rows; none of them if it tells no availability at all."""
+def _feed_answers(feed: DataFrame, asked: DataFrame) -> DataFrame:
+    """The feed's rows; none of them if it tells nothing of the products asked for."""
     answers = feed.select(
         F.col("product_id").alias("id"),
         F.col("available").alias("supplier_available"),
         F.col("price").alias("supplier_price"),
     )
-    told = feed.select(F.bool_or(F.col("available").isNotNull()).alias("told")).scalar()
+    heard = answers.join(asked.select("id"), "id", "left_semi")
+    told = heard.select(F.bool_or(F.col("supplier_available").isNotNull()).alias("told")).scalar()
     return answers.where(told)
 
 
@@ -144,7 +146,7 @@ def supplier_availability_join(worklist: DataFrame, feed: DataFrame | None) -> D
             F.lit(None).cast("boolean").alias("supplier_available"),
             F.lit(None).cast("double").alias("supplier_price"),
         )
-    return worklist.join(_feed_answers(feed), "id", "left").select(
+    return worklist.join(_feed_answers(feed, worklist), "id", "left").select(
         *worklist.columns, "supplier_available", "supplier_price"
     )
 
@@ -157,9 +159,14 @@ def supplier_availability_counts(offered: DataFrame) -> DataFrame:
     )
 
 
-def edit_worklist(worklist: DataFrame, edits: DataFrame) -> DataFrame:
-    """The worklist with quantities confirmed by hand; the other lines keep the default."""
-    by_hand = edits.select(F.col("product_id").alias("id"), F.col("confirmed_qty").alias("edited"))
+def edit_worklist(
+    worklist: DataFrame, edits: DataFrame, arrival: str | None = None
+) -> DataFrame:
+    """The worklist with quantities confirmed by hand; the other lines keep the default.
+
+    Of several edits of a product the last by ``arrival`` stands.
+    """
+    by_hand = last_per_key(edits, ["product_id"], arrival).select(F.col("product_id").alias("id"), F.col("confirmed_qty").alias("edited"))
     return worklist.join(by_hand, "id", "left").select(
         *[
             F.coalesce("edited", "confirmed_qty").alias(name)

@@ -47,14 +47,18 @@ def current_stock(
     exclude: DataFrame,
 ) -> DataFrame:
     """Positions, open and closed boxes and last change per product and freezer."""
+    n = F.col("n")
+    per_status = positions.groupBy("product", "freezer", "status").agg(
+        F.count("*").alias("n"), F.max("update_date").alias("last_update")
+    )
     counted = (
-        _with_status(positions.select("product", "freezer", "status", "update_date"), status)
+        _with_status(per_status, status)
         .groupBy("product", "freezer")
         .agg(
-            F.count("*").alias("total_positions"),
-            _counted(OPEN, F.lit(1)).alias("open_qty"),
-            _counted(CLOSED, F.lit(1)).alias("closed_qty"),
-            F.max("update_date").alias("last_update"),
+            F.sum(n).alias("total_positions"),
+            _counted(OPEN, n).alias("open_qty"),
+            _counted(CLOSED, n).alias("closed_qty"),
+            F.max("last_update").alias("last_update"),
         )
     )
     names = product.select(

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from larder import schemas
 from larder.functions.predicates import Moment
+from larder.operators.mapping import mapping_sync
 from larder.operators.merging import assign_ids
+from larder.operators.purchasing import order_status_apply
 from larder.operators.replenishment import purchase_order_build
 from larder.session import staged
 from larder.sources.tables import conform
 from larder.sources.versions import RANGE, VersionedTables
+from larder.streaming.order_ingest import ITEMS, ORDERS
 
 HEADER, LINES = "purchase_order", "purchase_order_item"
 
+# The column that deals a table's rows to ranges; other tables are kept as one range.
+RANGE_KEYS = {HEADER: "id", LINES: "order_id", ORDERS: "platform_order_id"}
+
 
 def save_purchase_order(
     tables: VersionedTables,
@@ -30,8 +36,11 @@ def save_purchase_order(
     """Stores a confirmed worklist as a draft order, header and lines together.
 
     Returns the order id, or None where there is nothing to save or a line is below
-    its target. Only the range of orders that the new one falls into is rewritten.
+    its target. A batch that is stored already is not stored again; its order id is
+    returned. Only the range of orders that the new one falls into is rewritten.
     """
+    if tables.has_batch(batch):
+        return tables.highest_in(HEADER, batch)
     order_id = tables.highest_id(HEADER) + 1
     built = staged(
         purchase_order_build(
@@ -61,7 +70,40 @@ def save_purchase_order(
 def edit_table(
     tables: VersionedTables, name: str, change: Callable[[DataFrame], DataFrame], batch: int
 ) -> None:
-    """Replaces a small table by ``change`` of it, for example one of the merges."""
+    """Replaces a table by ``change`` of it, for example one of the merges.
+
+    Rows stay in the ranges of their keys, and ranges left without rows are emptied.
+    """
     if tables.has_batch(batch):
         return
-    tables.publish({name: conform(change(tables.read(name).drop(RANGE)), name)}, batch)
+    changed = conform(change(tables.read(name).drop(RANGE)), name)
+    if name in RANGE_KEYS:
+        changed = changed.withColumn(RANGE, tables.range_of(F.col(RANGE_KEYS[name])))
+    tables.publish({name: changed}, batch, whole=[name])
+
+
+def apply_order_status(tables: VersionedTables, requests: DataFrame, batch: int) -> None:
+    """Stores status changes of purchase orders; rewrites only the ranges asked for."""
+    if tables.has_batch(batch):
+        return
+    key_range = tables.range_of(F.col("order_id"))
+    ranges = [row[0] for row in requests.select(key_range).distinct().collect()]
+    stored = tables.read(HEADER, ranges)
+    changed = conform(order_status_apply(stored.drop(RANGE), requests), HEADER)
+    tables.publish({HEADER: changed.withColumn(RANGE, tables.range_of(F.col("id")))}, batch)
+
+
+def sync_mapping(tables: VersionedTables, mapping: DataFrame, batch: int) -> int:
+    """Fills missing local ids of stored items from the mapping; returns how many.
+
+    Only ranges in which an item is filled are rewritten, each item in its own range.
+    """
+    if tables.has_batch(batch):
+        return 0
+    synced = mapping_sync(tables.read(ITEMS), mapping)
+    filled = {row[RANGE]: row["count"] for row in synced.where("filled").groupBy(RANGE).count().collect()}
+    if filled:
+        touched = mapping_sync(tables.read(ITEMS, list(filled)), mapping)
+        rows = conform(touched, ITEMS).schema.fieldNames()
+        tables.publish({ITEMS: touched.select(*rows, RANGE)}, batch)
+    return sum(filled.values())

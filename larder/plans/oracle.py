@@ -203,8 +203,9 @@ PIECES: dict[str, str] = {
         WHERE COALESCE(h.id, 0) <> 0""",
     "q_item": """
         SELECT h.arrival, h.id AS platform_order_id, i.id AS platform_item_id,
-          CAST(ROW_NUMBER() OVER (PARTITION BY h.arrival ORDER BY i.id, i.product_id,
-            i.line_source, i.created_at) - 1 AS INT) AS pos,
+          CAST(i.product_id // 1000 + 1 AS INT) AS part,
+          CAST(ROW_NUMBER() OVER (PARTITION BY h.arrival, i.product_id // 1000 ORDER BY i.id,
+            i.product_id, i.line_source, i.created_at) - 1 AS INT) AS pos,
           i.product_id AS external_product_id, i.product_name AS external_product_name,
           i.category_name AS external_category,
           TRY_CAST(REPLACE(i.quantity, ',', '.') AS DECIMAL(10,3)) AS quantity,
@@ -242,13 +243,13 @@ PIECES: dict[str, str] = {
         FROM {q_item} i
         JOIN (SELECT platform_order_id, COUNT(*) AS n FROM {q_header} GROUP BY 1) c
           ON c.platform_order_id = i.platform_order_id
-        LEFT JOIN (SELECT arrival, platform_item_id, ARG_MAX(nfe_bling_id, pos)
+        LEFT JOIN (SELECT arrival, platform_item_id, ARG_MAX(nfe_bling_id, (part, pos))
                      FILTER (WHERE nfe_bling_id IS NOT NULL) AS nfe
                    FROM {q_item} GROUP BY 1, 2) r
           ON r.arrival = i.arrival AND r.platform_item_id = i.platform_item_id
         GROUP BY i.arrival""",
     "q_item_target": """
-        SELECT order_id, platform_item_id, arrival, pos, nfe_bling_id, sale_order_bling_id
+        SELECT order_id, platform_item_id, arrival, part, pos, nfe_bling_id, sale_order_bling_id
         FROM (SELECT i.*, COALESCE(o.id, n.id) AS order_id,
                 o.id IS NULL AND i.arrival = f.arrival AS inserting
               FROM {q_item} i JOIN {q_numbered} f
@@ -266,8 +267,8 @@ PIECES: dict[str, str] = {
           AND f.copy = 1 AND f.arrival = i.arrival""",
     "q_relinked": """
         SELECT order_id, platform_item_id,
-          ARG_MAX(nfe_bling_id, (arrival, pos)) FILTER (WHERE nfe_bling_id IS NOT NULL) AS nfe,
-          ARG_MAX(sale_order_bling_id, (arrival, pos))
+          ARG_MAX(nfe_bling_id, (arrival, part, pos)) FILTER (WHERE nfe_bling_id IS NOT NULL) AS nfe,
+          ARG_MAX(sale_order_bling_id, (arrival, part, pos))
             FILTER (WHERE sale_order_bling_id IS NOT NULL) AS sale
         FROM {q_item_target} WHERE platform_item_id IS NOT NULL GROUP BY 1, 2""",
 }

@@ -1,7 +1,8 @@
 """Every report by name, over the tables of a test-data folder.
 
-A plan is lazy: nothing runs until the caller acts on the result. Decimals leave as
-doubles and ratios are rounded, so that two engines can be compared value by value.
+A plan is lazy: nothing runs until the caller acts on the result. The exceptions are
+the order merges and purchase orders, which store what they use several times, and the
+streams, which run to the end of their input. Decimals leave as doubles and ratios are rounded, so that two engines can be compared value by value.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from larder.session import shared_folder, staged
 from larder.sources.testdata import (
     CONSUMPTION_AS_OF,
     PLATFORM_AS_OF,
+    PRODUCTS_PER_PART,
     RANGE_END,
     RANGE_START,
     TestTables,
@@ -248,7 +250,8 @@ def _edited(t: TestTables) -> DataFrame:
 
 
 def _offered(t: TestTables) -> DataFrame:
-    return replenishment.supplier_availability_join(_worklist(t), t.supplier_availability)
+    worklist = staged(_worklist(t), "worklist")
+    return replenishment.supplier_availability_join(worklist, t.supplier_availability)
 
 
 @report
@@ -292,7 +295,7 @@ def order_below_target(t: TestTables) -> DataFrame:
 def purchase_order_build(t: TestTables) -> DataFrame:
     return plain(
         replenishment.purchase_order_build(
-            _offered(t),
+            staged(_offered(t), "offered"),
             merging.highest_id(t.purchase_order),
             DAYS,
             " weekly order ",
@@ -370,14 +373,14 @@ def normalize_order_headers(t: TestTables) -> DataFrame:
 
 @report
 def normalize_order_items(t: TestTables) -> DataFrame:
-    return plain(ingest.normalize_order_items(t.documents).drop("part"))
+    return plain(ingest.normalize_order_items(t.documents))
 
 
 # The batch is used by several merges, so it is staged once it is typed and resolved.
 
 
-def _resolved(t: TestTables, update_existing: bool) -> DataFrame:
-    headers = staged(_headers(t), "headers")
+def _resolved(t: TestTables, update_existing: bool, documents: DataFrame) -> DataFrame:
+    headers = staged(ingest.normalize_order_headers(documents), "headers")
     return staged(
         order_merge.resolve_orders(t.supplier_order, headers, update_existing), "resolved"
     )
@@ -385,15 +388,18 @@ def _resolved(t: TestTables, update_existing: bool) -> DataFrame:
 
 def _merged_orders(t: TestTables, update_existing: bool) -> DataFrame:
     return order_merge.merge_orders(
-        t.supplier_order, _resolved(t, update_existing), update_existing, PLATFORM_AS_OF
+        t.supplier_order,
+        _resolved(t, update_existing, t.documents.where("part = 0")),
+        update_existing,
+        PLATFORM_AS_OF,
     )
 
 
 def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
-    items = staged(ingest.normalize_order_items(t.documents), "items")
-    return order_merge.merge_order_items(
-        t.supplier_order_item, _resolved(t, update_existing), items, update_existing
-    )
+    documents = staged(t.documents, "documents")
+    items = staged(ingest.normalize_order_items(documents), "items")
+    resolved = _resolved(t, update_existing, documents)
+    return order_merge.merge_order_items(t.supplier_order_item, resolved, items, update_existing)
 
 
 @report
@@ -419,13 +425,12 @@ def merge_order_items_insert_only(t: TestTables) -> DataFrame:
 @report
 def order_load_metrics(t: TestTables) -> DataFrame:
     headers = _headers(t)
-    by_mode = [
-        order_merge.order_load_metrics(t.supplier_order, headers, update).select(
-            F.lit(mode).alias("mode"), "inserted", "updated", "skipped"
+    counts = order_merge.order_load_metrics(t.supplier_order, headers, update_existing=True)
+    return counts.select(
+        F.expr("stack(2, 'insert', inserted, skipped, updated, 'update', inserted, updated, skipped)").alias(
+            "mode", "inserted", "updated", "skipped"
         )
-        for mode, update in (("insert", False), ("update", True))
-    ]
-    return by_mode[0].unionByName(by_mode[1])
+    )
 
 
 # Product mapping
@@ -608,7 +613,12 @@ def _folder(t: TestTables, name: str) -> str:
 def stream_order_ingest(t: TestTables) -> DataFrame:
     """Orders and their items after the documents, landed as JSON, were ingested."""
     folder = _folder(t, "order-ingest")
-    t.documents.withColumnRenamed("arrival", "delivery").write.json(f"{folder}/landing")
+    documents = t.documents.withColumnRenamed("arrival", "delivery")
+    parts = t.raw_order_item.select("src_key", F.expr(f"product_id div {PRODUCTS_PER_PART}").alias("p"))
+    counted = parts.groupBy("src_key").agg((F.count_distinct("p") + 1).cast("int").alias("n"))
+    sizes = t.raw_order_header.select(F.col("arrival").alias("delivery"), "src_key").join(counted, "src_key", "left")
+    numbered = documents.join(sizes.select("delivery", F.coalesce("n", F.lit(1)).alias("parts")), "delivery")
+    numbered.write.json(f"{folder}/landing")
     order_ingest.start_order_ingest(
         t.spark, f"{folder}/landing", folder, update_existing=True, as_of=PLATFORM_AS_OF
     ).awaitTermination()

@@ -59,10 +59,19 @@ def _own_folder(application: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only where the cluster names none (a local run) is a temporary one made.
+    Only a local run that names none gets a temporary one: on a cluster the executors
+    would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    return (named or _local_folder(spark.sparkContext)).rstrip("/")
+
+
+def _local_folder(context) -> str:
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError(
+            f"master {context.master}: spark.checkpoint.dir has to name a folder all executors reach"
+        )
+    return _own_folder(context.applicationId)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -190,8 +190,8 @@ VIEWS: dict[str, str] = {
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
 }
 
-# Order documents hold about this many items; larger orders come in several parts.
-ITEMS_PER_DOCUMENT = 1000
+# The items of a delivery come in one document for each run of this many product ids.
+PRODUCTS_PER_PART = 1000
 
 
 def names_in(sql: str) -> set[str]:
@@ -232,8 +232,9 @@ class TestTables:
 def order_documents(headers: DataFrame, invoices: DataFrame, items: DataFrame) -> DataFrame:
     """Headers with their invoices and items nested.
 
-    An order's items are spread over as many documents as its size needs, so no
-    document grows with the largest order.
+    Part 0 of a delivery has its header and invoices; its items follow in one part for
+    each run of ``PRODUCTS_PER_PART`` product ids they are from. The items of a part are
+    sorted, so an item's place is its part and its position there.
     """
     line = F.struct(
         F.col("id"),
@@ -249,14 +250,9 @@ def order_documents(headers: DataFrame, invoices: DataFrame, items: DataFrame) -
             F.struct(F.col("category_name").alias("name")).alias("category"),
         ).alias("products"),
     )
-    sizes = items.groupBy("src_key").agg(
-        F.ceil(F.count("*") / F.lit(ITEMS_PER_DOCUMENT)).cast("bigint").alias("parts")
-    )
-    spread = F.pmod(F.xxhash64("id", "product_id", "line_source", "created_at"), F.col("parts"))
+    part = F.expr(f"cast(product_id div {PRODUCTS_PER_PART} + 1 as int)")
     nested_items = (
-        items.join(sizes, "src_key")
-        .withColumn("part", spread.cast("int"))
-        .groupBy("src_key", "part")
+        items.groupBy("src_key", part.alias("part"))
         .agg(F.sort_array(F.collect_list(line)).alias("orderItems"))
     )
     invoice = F.struct("pos", "f2_chvnfe", "f2_valfat", "f2_doc")
@@ -274,11 +270,18 @@ def order_documents(headers: DataFrame, invoices: DataFrame, items: DataFrame) -
         "invoices",
         lambda i: F.struct(*[i[name].alias(name) for name in schemas.INVOICE.fieldNames()]),
     )
-    return (
-        headers.join(nested_invoices, "arrival", "left")
-        .join(nested_items, "src_key", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("orderItems", order_items)
-        .withColumn("invoices", F.when(F.col("part") == 0, invoice_list))
-        .select("arrival", "part", *[F.col(name).cast(kind) for name, kind in types.items()])
+    heads = headers.join(nested_invoices, "arrival", "left").select(
+        *headers.columns,
+        F.lit(0).alias("part"),
+        invoice_list.cast(types["invoices"]).alias("invoices"),
+        F.lit(None).cast(types["orderItems"]).alias("orderItems"),
+    )
+    bodies = headers.join(nested_items, "src_key").select(
+        *headers.columns,
+        "part",
+        F.lit(None).cast(types["invoices"]).alias("invoices"),
+        order_items.cast(types["orderItems"]).alias("orderItems"),
+    )
+    return heads.unionByName(bodies).select(
+        "arrival", "part", *[F.col(name).cast(kind) for name, kind in types.items()]
     )

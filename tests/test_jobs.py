@@ -3,10 +3,11 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from larder import schemas
-from larder.operators import mapping, pricing, purchasing
+from larder import schemas, session
+from larder.operators import mapping, pricing, products, purchasing
 from larder.plans import jobs
 from larder.sources import tables as sources
 from larder.sources.versions import VersionedTables
@@ -109,3 +110,67 @@ def test_items_of_one_order_are_sorted(spark):
     supplied = supplied.withColumn("local_product_id", F.lit(1).cast("bigint"))
     got = pricing.supplier_order_items(supplied, product, 7).collect()
     assert [r.external_product_name for r in got] == ["x", "y", None]
+
+
+def test_edits_of_a_ranged_table_keep_its_rows(spark, tmp_path):
+    """Rows of several ranges stay once, moved and emptied ranges are retired."""
+    name = jobs.HEADER
+    tables = VersionedTables(spark, str(tmp_path / "t"), {name: schemas.TABLES[name]}, range_width=2)
+    lines = spark.createDataFrame([(1, 5, 5)], "id bigint, suggested_qty int, confirmed_qty bigint")
+    both = VersionedTables(
+        spark, str(tmp_path / "t"), {n: schemas.TABLES[n] for n in (jobs.HEADER, jobs.LINES)}, range_width=2
+    )
+    for batch in range(3):
+        assert jobs.save_purchase_order(both, lines, 30, "", "ana", batch, AS_OF) == batch + 1
+    jobs.edit_table(tables, name, lambda stored: stored, 10)
+    assert sorted(r.id for r in tables.read(name).collect()) == [1, 2, 3]
+    jobs.edit_table(tables, name, lambda stored: stored.where("id <> 1"), 11)
+    assert sorted(r.id for r in tables.read(name).collect()) == [2, 3]
+    assert sorted(r.id for r in tables.read(name, [1]).collect()) == [2, 3]
+    requests = spark.createDataFrame([(3, "CONFIRMADO"), (9, "ENVIADO")], "order_id bigint, new_status string")
+    jobs.apply_order_status(tables, requests, 12)
+    jobs.apply_order_status(tables, requests, 12)
+    assert {r.id: r.status for r in tables.read(name).collect()} == {2: "RASCUNHO", 3: "CONFIRMADO"}
+
+
+def test_a_repeated_purchase_order_is_saved_once(spark, tmp_path):
+    tables = purchase_tables(spark, tmp_path)
+    lines = spark.createDataFrame([(1, 5, 5)], "id bigint, suggested_qty int, confirmed_qty bigint")
+    assert jobs.save_purchase_order(tables, lines, 30, "", "ana", 7, AS_OF) == 1
+    assert jobs.save_purchase_order(tables, lines, 30, "", "ana", 7, AS_OF) == 1
+    assert tables.read(jobs.HEADER).count() == tables.read(jobs.LINES).count() == 1
+
+
+def test_mapping_sync_is_stored(spark, tmp_path):
+    name = jobs.ITEMS
+    tables = VersionedTables(spark, str(tmp_path / "t"), {name: schemas.TABLES[name]}, range_width=10)
+    rows = spark.createDataFrame([(1, 5, None), (2, 15, None), (3, 25, 9)], "id bigint, external_product_id bigint, local_product_id bigint")
+    stored = sources.conform(rows, name).withColumn("key_range", tables.range_of(F.col("external_product_id")))
+    tables.publish({name: stored}, 0)
+    known = spark.createDataFrame([(15, 77), (25, 78)], "external_product_id bigint, local_product_id bigint")
+    assert jobs.sync_mapping(tables, known, 1) == 1
+    assert jobs.sync_mapping(tables, known, 1) == 0
+    got = {r.id: r.local_product_id for r in tables.read(name).collect()}
+    assert got == {1: None, 2: 77, 3: 9}
+
+
+def test_edits_of_one_key_are_folded(spark):
+    stored = sources.conform(spark.createDataFrame([(1, "a", 5)], "external_product_id bigint, external_name string, local_product_id bigint"), "product_mapping")
+    rows = [(1, "b", 6, 1), (1, "c", 7, 2), (2, "d", 1, 2), (2, "e", None, 3)]
+    edits = spark.createDataFrame(rows, "external_product_id bigint, external_name string, local_product_id bigint, at int")
+    got = mapping.product_mapping_upsert(stored, edits, AS_OF, "at").collect()
+    assert sorted((r.external_product_id, r.external_name, r.local_product_id) for r in got) == [(1, "c", 7), (2, "e", None)]
+    flags = spark.createDataFrame([(1, True, 1), (1, False, 2), (2, False, 2), (2, True, 3)], "id bigint, excluir_calculos boolean, at int")
+    exclude = spark.createDataFrame([(1, "x")], schemas.TABLES["product_exclude"])
+    left = products.product_exclude_apply(exclude, flags, arrival="at").collect()
+    assert [r.product_id for r in left] == [2]
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark):
+    class Context:
+        master, applicationId = "yarn", "a"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session._local_folder(Context)
+    Context.master = "local[2]"
+    assert session._local_folder(Context)

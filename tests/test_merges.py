@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from replay import replay
 
 from larder import schemas
-from larder.operators import merging, order_merge
+from larder.operators import ingest, merging, order_merge
 from larder.sources.documents import (
     concat_load_types,
     read_order_lines,
     read_order_pages,
 )
+from larder.sources.testdata import order_documents
 from larder.sources.versions import RANGE
 from larder.streaming import order_ingest
 
@@ -256,3 +257,58 @@ def test_numbers_and_text_amounts(spark, tmp_path):
     order_ingest.merge_batch(tables, read_order_lines(spark, str(lines)), 0)
     row = tables.read(order_ingest.ORDERS).first()
     assert (row.total, row.franchise_tax) == (Decimal("12.50"), Decimal("1.25"))
+
+
+def test_parts_of_a_delivery_may_land_apart(spark, tmp_path):
+    """Three items a part in two files, read a file at a time; the header lands last."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for number, part in enumerate((1, 2, 0)):
+        items = [{"id": 10 * part + i, "product_id": i, "quantity": 1} for i in range(3)] if part else []
+        line = {"id": 4, "status": 1, "orderItems": items, "delivery": 9, "part": part, "parts": 3}
+        (landing / f"{number}.json").write_text(json.dumps(line))
+    root = str(tmp_path / "tables")
+    order_ingest.start_order_ingest(spark, str(landing), root, files_per_trigger=1).awaitTermination()
+    orders, items = state(order_ingest.order_tables(spark, root))
+    assert len(orders) == 1 and len(items) == 6
+
+
+def test_items_match_their_headers_however_files_are_cut(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for number in range(6):
+        lines = [{"id": 100 * number + i + 1, "orderItems": [{"id": 1, "product_id": 2, "quantity": 1}]} for i in range(20)]
+        (folder / f"{number}.json").write_text("\n".join(map(json.dumps, lines)))
+    spark.conf.set("spark.sql.files.minPartitionNum", "2")
+    try:
+        docs = read_order_lines(spark, str(folder))
+        headers = ingest.normalize_order_headers(docs).collect()
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        items = ingest.normalize_order_items(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len({r.arrival for r in headers} & {r.arrival for r in items}) == 120
+
+
+def test_an_order_of_equal_lines_keeps_its_header(spark):
+    header = spark.createDataFrame([(1, 1, 5)], "arrival bigint, src_key bigint, id bigint")
+    for name in ("store_id", "status", "type_of_load", "vhsys"):
+        header = header.withColumn(name, F.lit(1))
+    header = header.withColumn("total", F.lit("1,5")).withColumn("franchise_tax", F.lit("1"))
+    names = "id bigint, product_id bigint, line_source bigint, nfe_bling_id bigint, sale_order_bling_id bigint"
+    items = spark.createDataFrame([(1, 7, 7, 1, 1)] * 1500, names).withColumn("src_key", F.lit(1).cast("bigint"))
+    for name in ("quantity", "price_unit", "created_at", "product_name", "category_name"):
+        items = items.withColumn(name, F.lit("1"))
+    invoices = spark.createDataFrame([], "arrival bigint, pos int, f2_chvnfe string, f2_valfat string, f2_doc string")
+    docs = order_documents(header, invoices, items)
+    assert ingest.normalize_order_headers(docs).count() == 1
+    assert ingest.normalize_order_items(docs).count() == 1500
+
+
+def test_a_merge_returns_its_counts(spark, tmp_path):
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"id": 1}\n{"id": 2}\n{"id": 1}')
+    tables = order_ingest.order_tables(spark, str(tmp_path / "tables"))
+    docs = read_order_lines(spark, str(lines))
+    assert order_ingest.merge_batch(tables, docs, 0, True) == {"inserted": 2, "updated": 1, "skipped": 0}
+    assert order_ingest.merge_batch(tables, docs, 0, True) == {"inserted": 0, "updated": 0, "skipped": 0}

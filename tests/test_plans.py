@@ -5,9 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from larder.plans import reports
 
 SF_DIR = "/root/testdata/sf0.001"
-STREAMS = {name for name in entry_points.queries() if name.startswith("stream_")}
+STREAMS = {name for name in reports.REPORTS if name.startswith("stream_")}
 
 
 def plan(spark, name):
@@ -16,7 +17,7 @@ def plan(spark, name):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(reports.REPORTS) - STREAMS))
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(spark, name)
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):

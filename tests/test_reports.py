@@ -6,6 +6,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from larder.plans import oracle, reports
 
 SF_DIR = os.environ.get("LARDER_TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,10 +17,12 @@ def duck():
 
 
 def test_every_report_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(reports.REPORTS) == set(oracle.QUERIES)
+    assert set(reports.REPORTS) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(reports.REPORTS))
 def test_report_equals_sql(spark, duck, name):
     frame = entry_points.queries()[name](spark, SF_DIR)
     assert compare.differences(frame, duck, entry_points.oracle_sql()[name]) == []
