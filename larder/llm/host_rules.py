@@ -95,11 +95,14 @@ def base_failed() -> Column:
 
 
 def rule_failures() -> dict[str, Column]:
-    """Whether a document fails each rule; all in whole numbers."""
+    """Whether a document fails each rule; all in whole numbers.
+
+    One or two repeated lines are no failure: short pages repeat a heading.
+    """
     n, chars = F.col("n_words"), F.col("word_chars")
     return {
         "symbols": 10 * F.col("n_symbols") > chars,
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "repeated_lines": (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "repeated_words": 100 * F.col("n_repeat_words") > 30 * n,
         "word_length": (chars > 15 * n) | (chars < 2 * n),
     }

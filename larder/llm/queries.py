@@ -165,7 +165,7 @@ ORACLE_SQL = {
                  coalesce(c.n, 0) AS n_repeat_words
           FROM texts x LEFT JOIN covered c ON c.doc_id = x.doc_id
         ), tested AS (
-          SELECT *, CAST(10 * n_symbols > word_chars AS INT) AS f1, CAST(10 * n_dup_lines > 3 * n_lines AS INT) AS f2,
+          SELECT *, CAST(10 * n_symbols > word_chars AS INT) AS f1, CAST(n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines AS INT) AS f2,
                  CAST(100 * n_repeat_words > 30 * n_words AS INT) AS f3,
                  CAST(word_chars > 15 * n_words OR word_chars < 2 * n_words AS INT) AS f4
           FROM counts
