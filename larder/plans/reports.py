@@ -641,11 +641,9 @@ def stream_weekly_consumption(t: TestTables) -> DataFrame:
         .parquet(f"{t.sf_dir}/events.parquet*")  # a stream takes a folder or a pattern
         .select(F.col("user_id").alias("product"), F.col("ts").alias("change_date"))
     )
-    weekly_consumption.start_weekly_consumption(
-        history, folder, DAYS, CONSUMPTION_AS_OF
-    ).awaitTermination()
+    weekly_consumption.start_weekly_consumption(history, folder).awaitTermination()
     return weekly_consumption.read_weekly_consumption(
-        t.spark, folder, t.product, t.product_exclude
+        t.spark, folder, t.product, t.product_exclude, DAYS, CONSUMPTION_AS_OF
     ).orderBy(asc("week"), asc("product_desc"))
 
 

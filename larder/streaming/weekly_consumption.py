@@ -1,58 +1,62 @@
 """Weekly consumption kept up to date from a stream of position changes.
 
-State holds one counter per week and product id until the watermark passes the
-week. Rows later than the watermark are dropped, unlike in the batch report.
+Each micro-batch adds its units per product and day to one table of daily counters, so no
+change is too late, and a report applies its window when it reads them. The table is
+written anew for each batch that has changes, under the batch's number: a repeated batch
+starts from the same older table and overwrites its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.functions import trailing_window
 from larder.functions.predicates import Moment
-from larder.operators.consumption import name_weekly_counts
+from larder.operators.consumption import name_weekly_counts, week_start
 
-LATENESS = "7 days"
-# Windows are aligned to 1970-01-01, a Thursday; four days later is a Monday.
-WEEK, MONDAY = "7 days", "4 days"
-SECONDS_PER_DAY = 86400
+COUNTERS = "day date, product bigint, consumed bigint"
 
 
-def day_as_event_time(day: Column) -> Column:
-    """Midnight UTC of a day: event times have to be zoned, weeks here are not."""
-    return F.timestamp_seconds(F.unix_date(day).cast("bigint") * F.lit(SECONDS_PER_DAY))
+def daily_counts(history: DataFrame) -> DataFrame:
+    """Units per day and product id."""
+    return history.groupBy(F.to_date("change_date").alias("day"), "product").agg(
+        F.count("*").alias("consumed")
+    )
 
 
-def event_time_as_day(ts: Column) -> Column:
-    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(SECONDS_PER_DAY)).cast("int"))
+def _newest(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """The newest batch with counters, before the one given."""
+    found = spark.read.format("binaryFile").load(f"{root}/counts").select(F.col("batch").cast("bigint"))
+    if before is not None:
+        found = found.where(F.col("batch") < before)
+    return found.agg(F.max("batch")).first()[0]
 
 
-def weekly_counts(history: DataFrame, days: int, as_of: Moment) -> DataFrame:
-    """Units per week and product id of a history stream."""
-    return (
-        history.where(trailing_window(F.col("change_date"), days, as_of))
-        .select("product", day_as_event_time(F.to_date("change_date")).alias("day"))
-        .withWatermark("day", LATENESS)
-        .groupBy(F.window("day", WEEK, WEEK, MONDAY).alias("span"), "product")
-        .agg(F.count("*").alias("consumed"))
-        .select(event_time_as_day(F.col("span.start")).alias("week"), "product", "consumed")
-    )
+def add_batch(spark: SparkSession, root: str, changes: DataFrame, batch: int) -> None:
+    """Adds the changes of a micro-batch to the counters and drops tables no retry needs."""
+    spark.createDataFrame([], COUNTERS).write.mode("ignore").parquet(f"{root}/counts/batch=-1")
+    last = _newest(spark, root, batch)
+    stored = spark.read.schema(COUNTERS).parquet(f"{root}/counts/batch={last}")
+    added = stored.unionByName(daily_counts(changes))
+    counters = added.groupBy("day", "product").agg(F.sum("consumed").alias("consumed"))
+    counters.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+    older = _newest(spark, root, last)
+    if older is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/counts/batch={older}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def start_weekly_consumption(
-    history: DataFrame, root: str, days: int = 30, as_of: Moment = None
-) -> StreamingQuery:
-    """Writes the counters each micro-batch changed; a repeated batch replaces itself."""
+def start_weekly_consumption(history: DataFrame, root: str) -> StreamingQuery:
+    """Counts every change that has landed since the last run, then stops."""
 
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+    def write(changes: DataFrame, batch: int) -> None:
+        add_batch(changes.sparkSession, root, changes, batch)
 
     return (
-        weekly_counts(history, days, as_of)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        history.select("product", "change_date")
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -60,13 +64,21 @@ def start_weekly_consumption(
 
 
 def read_weekly_consumption(
-    spark: SparkSession, root: str, product: DataFrame, exclude: DataFrame
+    spark: SparkSession,
+    root: str,
+    product: DataFrame,
+    exclude: DataFrame,
+    days: int = 30,
+    as_of: Moment = None,
 ) -> DataFrame:
-    """The report from the newest value of each counter."""
-    written = spark.read.schema("week date, product bigint, consumed bigint, batch bigint").parquet(
-        f"{root}/counts"
-    )
-    newest = written.groupBy("week", "product").agg(
-        F.max_by("consumed", "batch").alias("consumed")
+    """Units per ISO week and product name in the last ``days`` days, by whole days.
+
+    Equal to the batch report where ``as_of`` is a midnight.
+    """
+    counters = spark.read.schema(COUNTERS).parquet(f"{root}/counts/batch={_newest(spark, root)}")
+    counts = (
+        counters.where(trailing_window(F.col("day").cast("timestamp_ntz"), days, as_of))
+        .groupBy(week_start(F.col("day")).alias("week"), "product")
+        .agg(F.sum("consumed").alias("consumed"))
     )
-    return name_weekly_counts(newest, product, exclude)
+    return name_weekly_counts(counts, product, exclude)

@@ -8,8 +8,6 @@ from larder.operators import consumption
 from larder.session import sized_for
 from larder.streaming import weekly_consumption
 
-AS_OF = "2024-02-10 00:00:00"
-
 
 def test_weekly_stream_equals_the_batch_report(spark, tmp_path):
     rng = random.Random(4)
@@ -25,24 +23,26 @@ def test_weekly_stream_equals_the_batch_report(spark, tmp_path):
         stream = (
             spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
         )
-        weekly_consumption.start_weekly_consumption(stream, root, 30, AS_OF).awaitTermination()
+        weekly_consumption.start_weekly_consumption(stream, root).awaitTermination()
 
     for step in range(3):
-        start = datetime.datetime(2024, 1, 5) + datetime.timedelta(days=10 * step)
+        start = datetime.datetime(2024, 1, 5) + datetime.timedelta(days=10 * (2 - step))
         rows = [
             (i, rng.randrange(1, 4), start + datetime.timedelta(minutes=rng.randrange(14000)))
             for i in range(60)
         ]
         everything += rows
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
-        if step:
-            run()
-    batch = consumption.consumption_weekly(
-        spark.createDataFrame(everything, schema), product, exclude, 30, AS_OF
-    )
-    streamed = weekly_consumption.read_weekly_consumption(spark, root, product, exclude)
-    assert sorted(streamed.collect()) == sorted(batch.collect())
-    assert streamed.columns == batch.columns
+        run()
+        as_of = f"2024-02-{10 + 8 * step} 00:00:00"  # the window moves on
+        batch = consumption.consumption_weekly(
+            spark.createDataFrame(everything, schema), product, exclude, 30, as_of
+        )
+        streamed = weekly_consumption.read_weekly_consumption(spark, root, product, exclude, 30, as_of)
+        assert sorted(streamed.collect()) == sorted(batch.collect())
+        assert streamed.columns == batch.columns
+    run()
+    assert len(list((tmp_path / "weekly" / "counts").glob("batch=*"))) <= 3
 
 
 def test_partitions_follow_the_input():
