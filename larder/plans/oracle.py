@@ -258,7 +258,10 @@ PIECES: dict[str, str] = {
               LEFT JOIN {q_new_id} n ON n.platform_order_id = i.platform_order_id)
         WHERE NOT inserting""",
     "q_new_item": """
-        SELECT CAST(NULL AS VARCHAR) AS id, n.id AS order_id, i.platform_item_id,
+        SELECT CAST(ROW_NUMBER() OVER (ORDER BY
+            ((i.platform_order_id % 1009) * 31 + i.part * 7 + i.pos) % 1009,
+            i.platform_order_id, i.part, i.pos) AS VARCHAR) AS id,
+          n.id AS order_id, i.platform_item_id,
           i.external_product_id, i.external_product_name, i.external_category, i.quantity,
           i.price_unit, CAST(NULL AS BIGINT) AS local_product_id, i.created_at, i.nfe_bling_id,
           i.sale_order_bling_id

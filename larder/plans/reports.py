@@ -399,7 +399,9 @@ def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
     documents = staged(t.documents, "documents")
     items = staged(ingest.normalize_order_items(documents), "items")
     resolved = _resolved(t, update_existing, documents)
-    return order_merge.merge_order_items(t.supplier_order_item, resolved, items, update_existing)
+    return order_merge.merge_order_items(
+        t.supplier_order_item, resolved, items, update_existing, after_id=F.lit(0)
+    )
 
 
 @report
