@@ -32,8 +32,7 @@ SURE = 0.98
 SHARD_ROWS = 8192
 SAMPLE_ROWS = 20_000
 QUERY_BLOCK = 4096
-LEAF = 64
-STRIDE = 8
+LEAF = 256
 
 
 def chi_square_quantile(probability: float, freedom: int) -> float:
@@ -72,8 +71,8 @@ class Projection:
         lengths = np.sqrt((vectors**2).sum(axis=1))
         return (vectors * (self.longest / lengths)[:, None]) @ self.axes[:-1]
 
-    def distance(self, product: np.ndarray, length: float) -> np.ndarray:
-        """The squared distance of a query of ``length`` to points of these inner products."""
+    def distance(self, product: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The squared distances of queries of these lengths and inner products."""
         return np.maximum(2 * self.longest**2 - 2 * self.longest * product / length, 0)
 
 
@@ -160,34 +159,64 @@ class Tree:
         self.low = np.array([points[rows].min(axis=0) for rows in leaves])
         self.high = np.array([points[rows].max(axis=0) for rows in leaves])
 
-    def nearest_first(self, point: np.ndarray):
-        """(leaf rows, their least projected distance) in groups, nearest leaves first."""
-        near = _box_distance(self.low, self.high, point)
-        order = np.argsort(near, kind="stable")
-        for i in range(0, len(order), STRIDE):
-            group = order[i : i + STRIDE]
-            yield np.concatenate([self.leaves[g] for g in group]), near[group[0]]
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """The least squared projected distance of each point to each leaf."""
+        out = np.zeros((len(points), len(self.leaves)))
+        for axis in range(points.shape[1]):
+            at = points[:, axis][:, None]
+            out += np.maximum(np.maximum(self.low[:, axis] - at, at - self.high[:, axis]), 0) ** 2
+        return out
 
 
 def search(
-    tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int,
-    projection: Projection, point: np.ndarray, bound: float,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and inner products of the k best found; ``bound`` is a k-th best squared distance known."""
-    length = math.sqrt(float((query**2).sum()))
-    best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-    for rows, near in tree.nearest_first(point):
-        if near > bound * REACH:
+    tree: Tree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int,
+    projection: Projection, points: np.ndarray, bounds: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, inner product) of the k best found of each query.
+
+    In each round every query that has not stopped verifies its next nearest leaf, all
+    queries of a leaf by one product. ``bounds`` are k-th best squared distances known. Products only sort
+    out what cannot be among the k best; the scores of the rest are summed alike for every
+    row, so equal vectors tie.
+    """
+    lengths = np.sqrt((queries**2).sum(axis=1))
+    near = tree.distances(points)
+    order = np.argsort(near, axis=1, kind="stable")
+    bounds = bounds.copy()
+    least = (2 * projection.longest**2 - bounds) * lengths / (2 * projection.longest)
+    slack = 1e-9 * projection.longest * lengths
+    best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    going = np.arange(len(queries))
+    for turn in range(len(tree.leaves)):
+        leaf = order[going, turn]
+        keep = near[going, leaf] <= bounds[going] * REACH
+        going, leaf = going[keep], leaf[keep]
+        if not len(going):
             break
-        away = ((tree.points[rows] - point) ** 2).sum(axis=1)
-        rows = rows[(away <= bound * REACH) & (ids[rows] != own)]
-        product = np.einsum("ij,j->i", vectors[rows], query)
-        best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, product])
-        order = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[order], best[order]
-        if len(best) == k:
-            bound = min(bound, float(projection.distance(best[-1], length)))
-    return best_ids, best
+        found_q, found_r = [], []
+        by_leaf = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
+        for group in np.split(by_leaf, cuts):
+            asking, rows = going[group], tree.leaves[leaf[group[0]]]
+            product = queries[asking] @ vectors[rows].T
+            fits = product >= (least - slack)[asking][:, None]
+            fits &= own[asking][:, None] != ids[rows][None, :]
+            q, r = np.nonzero(fits)
+            found_q.append(asking[q])
+            found_r.append(rows[r])
+        q, r = np.concatenate(found_q), np.concatenate(found_r)
+        score = np.concatenate([
+            np.einsum("ij,ij->i", vectors[r[i : i + 65536]], queries[q[i : i + 65536]]) for i in range(0, len(q), 65536)
+        ] or [np.zeros(0)])
+        q, found, score = (np.concatenate(pair) for pair in zip(best, (q, ids[r], score), strict=True))
+        place = np.lexsort((found, -score, q))
+        q, found, score = q[place], found[place], score[place]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        best = tuple(column[rank < k] for column in (q, found, score))
+        kth = rank == k - 1
+        least[q[kth]] = np.maximum(least[q[kth]], score[kth])
+        bounds[q[kth]] = np.minimum(bounds[q[kth]], projection.distance(score[kth], lengths[q[kth]]))
+    return best
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -282,16 +311,14 @@ def nearest(rows: DataFrame, modulus: int, k: int, id_column: str = "vec_id", ve
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         projection, _ = shipped.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        columns = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
             vectors, ids = _matrix(right.column("v")), right.column("vec_id").to_numpy()
             tree = Tree(projection.rows(vectors))
             query, own = _matrix(left.column("q")), left.column("query_id").to_numpy()
             bound, at = left.column("bound").to_numpy(), projection.queries(query)
-            for i in range(len(own)):
-                found, score = search(tree, vectors, ids, query[i], own[i], k, projection, at[i], bound[i])
-                out.append((np.full(len(found), own[i]), found, score))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            asked, found, score = search(tree, vectors, ids, query, own, k, projection, at, bound)
+            columns = (own[asked], found, score)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     def run(visiting: DataFrame) -> DataFrame:
