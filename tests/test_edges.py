@@ -223,7 +223,11 @@ def test_feed_without_any_answer_is_no_feed(spark):
         assert (row.supplier_available, row.supplier_price) == (None, None)
     told = feed.union(spark.createDataFrame([(2, True, 1.0)], feed.schema))
     row = replenishment.supplier_availability_join(lines, told).first()
-    assert (row.supplier_available, row.supplier_price) == (None, 9.5)
+    assert (row.supplier_available, row.supplier_price) == (None, None)  # nobody asked for 2
+    both = worklist(spark, (1, "A", 2, 5, 3, 3, 4), (2, "B", 2, 5, 3, 3, 4))
+    rows = {r.id: r for r in replenishment.supplier_availability_join(both, told).collect()}
+    assert (rows[1].supplier_available, rows[1].supplier_price) == (None, 9.5)
+    assert (rows[2].supplier_available, rows[2].supplier_price) == (True, 1.0)
 
 
 def test_status_requests(spark):
