@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -306,6 +307,7 @@ def item_frequency_pct(frequency: DataFrame) -> DataFrame:
     )
 
 
-def filter_options(rows: DataFrame, column: str) -> DataFrame:
-    """The distinct values a filter on ``column`` offers."""
-    return rows.select(F.col(column).alias("value")).dropna().distinct()
+def filter_options(rows: DataFrame, filters: Mapping[str, Column]) -> DataFrame:
+    """(filter, value): the distinct values of several filters, from one pass over the rows."""
+    offered = [F.struct(F.lit(name).alias("filter"), value.alias("value")) for name, value in filters.items()]
+    return rows.select(F.inline(F.array(*offered))).where("value IS NOT NULL").distinct()

@@ -589,18 +589,12 @@ def item_frequency_filtered(t: TestTables) -> DataFrame:
 
 @report
 def filter_options(t: TestTables) -> DataFrame:
-    averages, shares = _averages(t), pricing.item_frequency_pct(_frequency(t))
-    cold = pricing.price_average_filtered(averages, tipo="Gelado")
-    lists = [
-        ("price_type", averages, "tipo"),
-        ("price_category", cold, "categoria"),
-        ("frequency_type", shares, "tipo"),
-        ("frequency_category", shares, "categoria"),
-    ]
-    options = None
-    for name, rows, column in lists:
-        found = pricing.filter_options(rows, column).select(F.lit(name).alias("filter"), "value")
-        options = found if options is None else options.unionByName(found)
+    cold = F.when(F.col("tipo") == "Gelado", F.col("categoria"))
+    prices = {"price_type": F.col("tipo"), "price_category": cold}
+    counts = {"frequency_type": F.col("tipo"), "frequency_category": F.col("categoria")}
+    options = pricing.filter_options(_averages(t), prices).unionByName(
+        pricing.filter_options(pricing.item_frequency_pct(_frequency(t)), counts)
+    )
     return options.orderBy(asc("filter"), asc("value"))
 
 
