@@ -38,15 +38,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stage(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
-    Cuts the lineage with a table that outlives executors; Parquet's LZ4 or ZSTD.
+    Cuts the lineage with a table that outlives executors.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/larder-llm/{name}-{uuid.uuid4().hex}"
-    codec = {"lz4": "lz4_raw"}.get(compression, compression)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
