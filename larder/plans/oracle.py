@@ -205,7 +205,7 @@ PIECES: dict[str, str] = {
         SELECT h.arrival, h.id AS platform_order_id, i.id AS platform_item_id,
           CAST(i.product_id // 1000 + 1 AS INT) AS part,
           CAST(ROW_NUMBER() OVER (PARTITION BY h.arrival, i.product_id // 1000 ORDER BY i.id,
-            i.product_id, i.line_source, i.created_at) - 1 AS INT) AS pos,
+            i.product_id, i.line_source, i.created_at, i.quantity, i.price_unit) - 1 AS INT) AS pos,
           i.product_id AS external_product_id, i.product_name AS external_product_name,
           i.category_name AS external_category,
           TRY_CAST(REPLACE(i.quantity, ',', '.') AS DECIMAL(10,3)) AS quantity,
