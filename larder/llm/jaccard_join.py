@@ -1,21 +1,28 @@
 """Exact n-gram Jaccard join by prefix trees.
 
-A document's set is its distinct shingles; shingles are ordered by their 64-bit hash, the
+A ``Rule`` holds the length of the shingles and the threshold ``num / den``. A document's set
+is its distinct shingles; shingles are ordered by their 64-bit hash, the
 same for all documents, so a set is a path in a tree. Documents of equal sets are one node
 from the start. The order's range is cut into segments, more than two linked sets can
-differ in: sets with ``100 * common >= 90 * union`` agree on whole segments of their paths,
+differ in: sets with ``den * common >= num * union`` agree on whole segments of their paths,
 and sets that agree on one meet (a running first value by segment, no group is gathered).
 The components of that meeting relation are blocks no link leaves. Inside a block the sets
 are stored in a tree with common beginnings shared; a query walks it with the overlap so
 far, leaves subtrees that cannot reach the overlap their lengths ask for, and skips those
 whose documents are all in its component already.
 
-Sizes are dealt with in levels, 0.81 apart; a set takes part in its own level and in that
+Sizes are dealt with in levels, ``(num / den) ** 2`` apart; a set takes part in its own level and in that
 of the largest set it can link with. A level of sizes up to s has ``k + 1 + SPARE`` segments,
 k the largest difference of two linked sets. Segments of fewer than two shingles meet by
 chance; two linked sets agree on more than ``SPARE`` segments, so such segments are used
 only by sets that have more than ``SPARE`` of them.
 
+Under a threshold of 85/100 segments hold so few shingles that most would meet by chance. There
+sets meet by the shingles of their prefixes instead: in any one order of all shingles, linked
+sets share one of their first ``size - ceil(size * num / den) + 1``. The order puts rare
+shingles first, by counts in hash buckets; which order it is has no effect on the links, only
+on how many sets meet that have none.
+
 A block of many shingles is dealt out as pairs of chunks, each with bounded memory, and
 their links are joined to components afterwards.
 """
@@ -23,6 +30,8 @@ their links are joined to components afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +41,57 @@ from pyspark.sql import functions as F
 from larder.llm.common import components, stage, tree_reduce
 from larder.llm.textarrays import Words, mix, words_of
 
-NUM, DEN = 90, 100
-N = 3
 SPARE = 2
+LEAST_SEGMENT_THRESHOLD = 0.85
+MOST_RANK_BITS = 22
 CHUNK_SHINGLES = 1_000_000
 BITS = 1 << 24
-_LEVELS = [1]
-while _LEVELS[-1] < 1 << 40:
-    _LEVELS.append(max(_LEVELS[-1] + 1, int(_LEVELS[-1] / 0.81)))
-_LEVEL_ARRAY = np.array(_LEVELS)
 
 
-def _segments(level: np.ndarray) -> np.ndarray:
-    """How many segments the sets of a level are cut into."""
-    largest = _LEVEL_ARRAY[level + 1] - 1
-    return largest * 2 * (DEN - NUM) // (DEN + NUM) + 1 + SPARE
+@dataclass(frozen=True)
+class Rule:
+    """Sets of distinct ``n``-word shingles link when ``den * common >= num * union``."""
+
+    n: int = 3
+    num: int = 90
+    den: int = 100
+
+    @property
+    def by_segments(self) -> bool:
+        return self.num >= LEAST_SEGMENT_THRESHOLD * self.den
+
+    @cached_property
+    def levels(self) -> np.ndarray:
+        """The least size of each level; linked sets are at most one level apart."""
+        levels = [1]
+        while levels[-1] < 1 << 40:
+            levels.append(max(levels[-1] + 1, levels[-1] * self.den**2 // self.num**2))
+        return np.array(levels)
+
+    def segments(self, level: np.ndarray) -> np.ndarray:
+        """How many segments the sets of a level are cut into."""
+        largest = self.levels[level + 1] - 1
+        return largest * 2 * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
 
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        """How many shingles, first in any order, hold one that linked sets share."""
+        return np.where(sizes > 0, sizes + (-sizes * self.num) // self.den + 1, 0)
 
-def _sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+
+OP2 = Rule()
+
+
+def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts in a row, ordered in each, and the texts' bounds."""
     hashes, counts, texts = words.hashes(), words.counts, len(words.rows)
     at = np.arange(len(hashes))
     room = words.bounds[1:][words.owner()] - at
     grams = mix(hashes + np.uint64(1))
-    for step in range(1, N):
+    for step in range(1, n):
         here = room > step
         grams[here] = mix(grams[here] ^ mix(hashes[at[here] + step] + np.uint64(step + 1)))
     start = words.bounds[:-1][words.owner()]
-    keep = (room >= N) | ((counts[words.owner()] < N) & (at == start))
+    keep = (room >= n) | ((counts[words.owner()] < n) & (at == start))
     owner, grams = words.owner()[keep], grams[keep]
     order = np.lexsort((grams, owner))
     owner, grams = owner[order], grams[order]
@@ -79,16 +111,16 @@ def _signatures(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(grams: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) for every segment by which a text's set can meet others."""
     sizes = np.diff(bounds)
     texts, keys = [], []
-    own = np.searchsorted(_LEVEL_ARRAY, sizes, side="right") - 1
-    above = np.searchsorted(_LEVEL_ARRAY, sizes * DEN // NUM, side="right") - 1
+    own = np.searchsorted(rule.levels, sizes, side="right") - 1
+    above = np.searchsorted(rule.levels, sizes * rule.den // rule.num, side="right") - 1
     marked = mix(grams ^ np.uint64(0x369DEA0F31A53F85))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for level, takes in ((own, sizes > 0), (above, (sizes > 0) & (above > own))):
-        count = np.where(takes, _segments(np.maximum(level, 0)), 0)
+        count = np.where(takes, rule.segments(np.maximum(level, 0)), 0)
         takes &= count > 1 + SPARE  # else only equal sets can link
         count[~takes] = 0
         if not takes.any():
@@ -116,13 +148,45 @@ def _keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(texts), np.concatenate(keys)
 
 
+def _prefix_keys(
+    grams: np.ndarray, bounds: np.ndarray, rule: Rule, counts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) for every shingle in the prefix of a text's set, the rarest by ``counts`` first."""
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((grams, counts[_rank_bucket(grams, len(counts))], owner))
+    used = np.arange(len(grams)) - bounds[:-1][owner] < rule.prefix(sizes)[owner]
+    return owner[used], grams[order][used].view(np.int64)
+
+
+def _rank_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _shingle_counts(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
+    """How many sets hold the shingles of each hash bucket, four shingles a bucket up to the bound."""
+    buckets = 1 << min(max(shingles // 4, 1 << 10).bit_length(), MOST_RANK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, dtype=np.uint32)
+        for batch in batches:
+            for words in words_of(batch.column(0)):
+                grams, _ = _sets(words, rule.n)
+                counts += np.bincount(_rank_bucket(grams, buckets), minlength=buckets).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["part"])
+
+    counts = tree_reduce(texts.select("text").mapInArrow(run, "part binary"), np.uint32, np.add)
+    return np.zeros(buckets, dtype=np.uint32) if counts is None else counts
+
+
 class _Tree:
     """Sets of a block as a tree over tokens, numbered in their common order.
 
     Edges hold several tokens, at most ``piece``, so that bounds are tested on the way.
     """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
+        self.rule = rule
         sizes = np.array([len(s) for s in sets])
         _, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         parts = np.split(ranks.astype(np.int64), np.cumsum(sizes)[:-1])
@@ -176,6 +240,7 @@ class _Tree:
 
     def linked(self, text: int, free: np.ndarray) -> np.ndarray:
         """Which of the sets marked ``free`` link with the set at ``text`` (tree order)."""
+        num, den = self.rule.num, self.rule.den
         size = int(self.sizes[text])
         inside = np.zeros(self.tokens, dtype=np.int64)
         inside[self.paths[text]] = 1
@@ -187,10 +252,10 @@ class _Tree:
         found = []
         while len(nodes):
             fits = (left[self.high[nodes]] > left[self.low[nodes]]) & (
-                DEN * self.most[nodes] >= NUM * size
-            ) & (NUM * self.least[nodes] <= DEN * size)
+                den * self.most[nodes] >= num * size
+            ) & (num * self.least[nodes] <= den * size)
             rest = np.minimum(size - consumed, self.most[nodes] - self.start[nodes])
-            fits &= (DEN + NUM) * (overlap + rest) >= NUM * (size + self.least[nodes])
+            fits &= (den + num) * (overlap + rest) >= num * (size + self.least[nodes])
             nodes, overlap, consumed = nodes[fits], overlap[fits], consumed[fits]
             if not len(nodes):
                 break
@@ -202,7 +267,7 @@ class _Tree:
             consumed = np.where(length > 0, upto[np.maximum(self.last[nodes], 0)], consumed)
             ended = self.leaf[nodes]
             whole = nodes[ended]
-            good = (DEN + NUM) * overlap[ended] >= NUM * (size + self.sizes[self.low[whole]])
+            good = (den + num) * overlap[ended] >= num * (size + self.sizes[self.low[whole]])
             found.append(self.low[whole[good]])
             nodes, overlap, consumed = nodes[~ended], overlap[~ended], consumed[~ended]
             many = self.kid_bounds[nodes + 1] - self.kid_bounds[nodes]
@@ -214,9 +279,9 @@ class _Tree:
         return found[free[found]]
 
 
-def block_roots(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def block_roots(ids: np.ndarray, sets: list[np.ndarray], rule: Rule = OP2) -> np.ndarray:
     """For each set of a block, the smallest id of its component."""
-    tree = _Tree(sets)
+    tree = _Tree(sets, rule)
     free = np.ones(len(sets), dtype=bool)
     root = np.zeros(len(sets), dtype=ids.dtype)
     for first in range(len(sets)):
@@ -234,12 +299,12 @@ def block_roots(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def similar_components(documents: DataFrame) -> DataFrame:
+def similar_components(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
-    Words are runs of non-blank bytes with A-Z lower-cased; a set holds the distinct ``N``-word
-    shingles, the whole sequence if there are fewer words. Two rows link when 100 times the
-    common shingles are at least 90 times all of theirs; ``component_id`` is the smallest
+    Words are runs of non-blank bytes with A-Z lower-cased; a set holds the distinct ``n``-word
+    shingles, the whole sequence if there are fewer words. Two rows link when ``den`` times the
+    common shingles are at least ``num`` times all of theirs; ``component_id`` is the smallest
     doc_id a row reaches. A text that is null or without words has an empty set and stays
     alone, as does a row without doc_id (its component is null unless an equal set has an
     id). Rows with the same doc_id are rows of their own.
@@ -249,7 +314,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column(1)):
-                grams, bounds = _sets(words)
+                grams, bounds = _sets(words, rule.n)
                 one, two = _signatures(grams, bounds)
                 ids = batch.column(0).slice(words.rows.start, len(words.rows))
                 yield pa.RecordBatch.from_arrays(
@@ -260,9 +325,12 @@ def similar_components(documents: DataFrame) -> DataFrame:
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column(1)):
-                grams, bounds = _sets(words)
+                grams, bounds = _sets(words, rule.n)
                 one, _ = _signatures(grams, bounds)
-                text, key = _keys(grams, bounds)
+                if rule.by_segments:
+                    text, key = _keys(grams, bounds, rule)
+                else:
+                    text, key = _prefix_keys(grams, bounds, rule, ranks.value)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[text])], names=["key", "sig"])
 
     sets = stage(
@@ -274,6 +342,10 @@ def similar_components(documents: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"))
         .where("rep IS NOT NULL")
     )
+    ranks = None
+    if not rule.by_segments:
+        shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+        ranks = texts.sparkSession.sparkContext.broadcast(_shingle_counts(texts, rule, shingles))
     met = texts.mapInArrow(postings, "key long, sig long").distinct()
     running = Window.partitionBy("key").orderBy("sig").rowsBetween(Window.unboundedPreceding, 0)
     edges = met.select(F.col("sig").alias("a"), F.first("sig").over(running).alias("b")).where("a <> b")
@@ -289,7 +361,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     if most is None:
         roots = None
     else:
-        roots = _links(texts, active, sizes)
+        roots = _links(texts, active, sizes, rule)
         roots = components(roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))) if most > 1 else roots.select(
             F.col("rep").alias("node"), "root"
         ).where("node <> root")
@@ -301,7 +373,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame) -> DataFrame:
+def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """(rep, root): each set of the blocks with the least id found linked to it."""
     chunked = active.join(sizes, F.col("root") == F.col("block"))
     chunked = stage(
@@ -329,7 +401,7 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame) -> DataFrame:
             bucket = (mix(ids[known].astype(np.int64).astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)
             part = batch.take(pa.array(known[shipped.value[bucket]]))
             for words in words_of(part.column(1)):
-                grams, bounds = _sets(words)
+                grams, bounds = _sets(words, rule.n)
                 one, _ = _signatures(grams, bounds)
                 data = [grams[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
@@ -357,7 +429,7 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame) -> DataFrame:
         group, ids, sets = None, [], []
 
         def done() -> pa.RecordBatch:
-            roots = block_roots(np.array(ids), sets)
+            roots = block_roots(np.array(ids), sets, rule)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["rep", "root"])
 
         for batch in batches:
@@ -376,7 +448,7 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame) -> DataFrame:
     return stage(sorted_.mapInArrow(solve, "rep long, root long"), "links")
 
 
-def drop_similar(documents: DataFrame) -> DataFrame:
+def drop_similar(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     """One row of each component, that with the smallest doc_id, columns as they were.
 
     Rows without words or without doc_id stay. Of rows that repeat the smallest doc_id one
@@ -387,7 +459,7 @@ def drop_similar(documents: DataFrame) -> DataFrame:
     place = {name: plain[i] for i, name in enumerate(documents.columns)}
     rows = documents.toDF(*plain)
     ids, texts = F.col(place["doc_id"]), F.col(place["text"])
-    found = similar_components(rows.select(ids.alias("doc_id"), texts.alias("text")))
+    found = similar_components(rows.select(ids.alias("doc_id"), texts.alias("text")), rule)
     kept = found.where("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct()
     alone = ids.isNull() | ~F.coalesce(texts.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     chosen = rows.where(~alone).join(kept, ids == F.col("doc_id"), "left_semi")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -105,3 +106,56 @@ def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (60, 50), (60, 61)]
     found = {r.node: r.root for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 50, 60: 50, 61: 50, 50: 50}
+
+
+def linked_at(rows, n, num, den):
+    """component_id of rows (doc_id, text) by brute force over ``n``-word shingles."""
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[k : k + n]) for k in range(max(len(words) - n + 1, min(len(words), 1)))}
+    root = dict(zip(sets, sets, strict=True))
+    for a in sets:
+        for b in sets:
+            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def longer_and_shorter(seed):
+    """Texts with copies that have new text appended, the end cut off, or words changed."""
+    rng = random.Random(seed)
+    texts, line = [], [f"common{i}" for i in range(9)]
+    for _ in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([7, 20, 50, 120, 300]))] + line
+        texts.append(words)
+        for share in (0.05, 0.12, 0.2, 0.26):
+            count = round(share * len(words))
+            texts.append(words + [f"n{rng.randrange(10**6)}" for _ in range(count)])
+            texts.append(words[: len(words) - count])
+            changed = list(words)
+            for at in rng.sample(range(len(words)), round(share / 6 * len(words))):
+                changed[at] = "changed"
+            texts.append(changed)
+    rng.shuffle(texts)
+    return [(i, " ".join(words)) for i, words in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rule", [(5, 80, 100), (5, 85, 100)])
+def test_rules_against_brute_force(spark, rule):
+    """By prefixes, and by segments at another threshold than that of op2."""
+    rows = longer_and_shorter(1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = linked_at(rows, *rule)
+    got = {r.doc_id: r.component_id for r in similar_components(frame, jaccard_join.Rule(*rule)).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(set(linked_at(rows, rule[0], 95, 100).values()))
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    rows = longer_and_shorter(5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(linked_at(rows, 5, 80, 100).values())
+    assert want != set(linked_at(rows, 3, 90, 100).values())
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
