@@ -11,6 +11,7 @@ sequences of one pattern at one offset. Pieces are numbered and placed on the ex
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +30,7 @@ END = 0
 SLACK = 4
 MOST_PATTERNS = 60_000
 STEPS = 150
+LONG_BLANK = 100_000
 
 
 class _Encoder:
@@ -36,7 +38,8 @@ class _Encoder:
 
     tiktoken runs the same vocabulary several times faster. It is used while it agrees with
     tokenizers on the first texts of every batch, and not for texts that hold the string of
-    a special token, which tokenizers takes for that token.
+    a special token, which tokenizers takes for that token, or a run of ``LONG_BLANK`` blanks:
+    tiktoken's stack overflows on a million of them.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,7 +65,8 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for i, text in enumerate(texts):
-            if not self.agrees or any(token in text for token in self.special):
+            special = any(token in text for token in self.special)
+            if not self.agrees or special or _long_blank(text):
                 yield self.slow.encode(text, add_special_tokens=False).ids
                 continue
             ids = self.quick.encode_ordinary(text)
@@ -73,6 +77,13 @@ class _Encoder:
             yield ids
 
 
+def _long_blank(text: str) -> bool:
+    """Whether a text has a run of ``LONG_BLANK`` blanks; each run is read once."""
+    if len(text) < LONG_BLANK:
+        return False
+    return any(m.end() - m.start() >= LONG_BLANK for m in re.finditer(r"\s+", text))
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
     return _Encoder(path)

@@ -49,6 +49,17 @@ def test_odd_documents_are_packed(spark, messy, nothing):
     assert packing.packed_digests(nothing, PATH).count() == 0
 
 
+def test_long_runs_of_blanks_are_packed(spark):
+    texts = ["a", "b" + " " * 1_001_000 + "c", "\n" * 1_001_000, "d \u2003\t" * 30_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in packing.packed_digests(frame, PATH).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    tokenizer = Tokenizer.from_file(PATH)
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert got == want
+
+
 def test_ids_are_those_of_the_tokenizer():
     rng = np.random.default_rng(0)
     texts = ["<|endoftext|> a", "it's  we'll\u00a0x\u2003y\r\n\n z", "don’t 12½ Ⅷ ² 日本語 a\u0301"]
