@@ -8,8 +8,8 @@ counts with the model of order k - 1,
 
 and a context counts only if it was seen ``LEAST`` times. The log ratio of both models is a sum over orders of
 one weight for the context and one for the context with its character, both 0 if never
-seen. All weights fit one array of fixed size (indexed by hash), so a character of a URL is
-scored by looking up its contexts, with no join. The score is divided by the length; the threshold is
+seen. The weights are joined by their own key, order by order, to the distinct grams of all
+URLs, so each gram has its exact value however many there are. The score is divided by the length; the threshold is
 the one that tells allowed from blocked examples best, with both kinds weighing the same.
 """
 
@@ -31,7 +31,6 @@ RULES = (
 ORDER = 5
 KAPPA = 4.0
 LEAST = 3
-BUCKETS = 1 << 20
 PAD = "\x02"
 ANY = "\x01"
 BIN = 0.002
@@ -63,7 +62,8 @@ def _padded(url: Column) -> Column:
 
 
 def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    """A key's whole hash, which no two keys share; scores need none, tests compare by it."""
+    return F.xxhash64(key)
 
 
 def count_grams(examples: DataFrame) -> DataFrame:
@@ -114,15 +114,6 @@ def fit_weights(examples: DataFrame) -> DataFrame:
     return weights
 
 
-def weight_array(weights: DataFrame) -> DataFrame:
-    """One row with the weights by bucket: ``BUCKETS`` numbers, whatever was counted."""
-    spark = weights.sparkSession
-    by_bucket = weights.groupBy(_bucket(F.col("key")).alias("bucket")).agg(F.sum("weight").cast("float").alias("weight"))
-    dense = spark.range(BUCKETS).select(F.col("id").cast("int").alias("slot")).join(by_bucket, F.col("slot") == F.col("bucket"), "left")
-    pairs = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"))))
-    return dense.agg(F.transform(pairs, lambda x: x["weight"]).alias("weights"))
-
-
 def _grams(url: Column) -> Column:
     """The runs of ``ORDER`` characters that end at each character of a URL and at its end."""
     text = _padded(url)
@@ -131,18 +122,35 @@ def _grams(url: Column) -> Column:
     )
 
 
-def url_scores(urls: DataFrame, weights: Column) -> DataFrame:
-    """(url, score) of each distinct URL: the log ratio of both models, a character."""
-    gram, parts = F.col("gram"), []
+def gram_steps(grams: DataFrame, weights: DataFrame) -> DataFrame:
+    """(of, step) of each distinct ``gram``: what its character adds, all orders together.
+
+    Orders build on the shorter one, so that a key meets only the grams that differ in their
+    first or last character.
+    """
+    below = None
     for order in range(1, ORDER + 1):
-        start = F.lit(ORDER - order + 1)
-        context = F.concat(F.substr(gram, start, F.lit(order - 1)), F.lit(ANY))
-        parts += [F.get(weights, _bucket(F.substr(gram, start, F.lit(order)))), F.get(weights, _bucket(context))]
-    step = parts[0].cast("double")
-    for part in parts[1:]:
-        step = step + part
-    steps = urls.select("url").distinct().select("url", F.explode(_grams(F.col("url"))).alias("gram"))
-    summed = steps.select("url", step.alias("step")).groupBy("url").agg(F.sum("step").alias("total"))
+        ends = grams.select(F.right("gram", F.lit(order)).alias("of")).distinct()
+        context = F.concat(F.substr(F.col("of"), F.lit(1), F.lit(order - 1)), F.lit(ANY))
+        own = weights.select(F.col("key").alias("k"), F.col("weight").alias("w"))
+        before = weights.select(F.col("key").alias("ck"), F.col("weight").alias("cw"))
+        joined = ends.join(own, F.col("of") == F.col("k"), "left").join(before, context == F.col("ck"), "left")
+        step = F.coalesce("w", F.lit(0.0)) + F.coalesce("cw", F.lit(0.0))
+        if below is not None:
+            joined = joined.join(below, F.right("of", F.lit(order - 1)) == F.col("shorter"))
+            step = step + F.col("rest")
+        solved = stage(joined.select("of", step.alias("step")), "steps")
+        below = solved.select(F.col("of").alias("shorter"), F.col("step").alias("rest"))
+    return solved
+
+
+def url_scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
+    """(url, score) of each distinct URL: the log ratio of both models, a character."""
+    distinct = urls.select("url").distinct()
+    steps = distinct.select("url", F.explode(_grams(F.col("url"))).alias("gram"))
+    values = gram_steps(stage(steps.select("gram").distinct(), "url-grams"), weights)
+    valued = steps.join(values, F.col("gram") == F.col("of"))
+    summed = valued.groupBy("url").agg(F.sum("step").alias("total"))
     return summed.select("url", (F.col("total") / F.greatest(F.length("url"), F.lit(1))).alias("score"))
 
 
@@ -186,8 +194,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = parts.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
     examples = ruled.where("rule_verdict IS NOT NULL").select("url", F.col("rule_verdict").alias("verdict"))
-    table = stage(weight_array(fit_weights(examples)), "weights")
-    scores = url_scores(ruled, table.scalar()).withColumnRenamed("url", "of")
+    table = stage(fit_weights(examples), "weights")
+    scores = url_scores(ruled, table).withColumnRenamed("url", "of")
     scored = stage(ruled.join(scores, F.col("url") == F.col("of")).drop("of"), "scored")
     threshold = calibrated_threshold(scored)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")

@@ -98,6 +98,18 @@ def test_url_scores_against_recursion(spark):
     assert verdict[3] == "block" and verdict[4] == "allow"  # net: as the paths of the examples
 
 
+def test_url_scores_do_not_depend_on_slots(spark, monkeypatch):
+    """No gram takes over the weight of another, seen or not."""
+    monkeypatch.setattr(url_filter, "BUCKETS", 64, raising=False)
+    urls = [f"https://a{i}.example.org/{'en/2' if i % 2 else 'es/'}{i * i}/slug-{i}" for i in range(40)]
+    urls += [f"http://b{i}.net/qqq/{i}" for i in range(5)]
+    examples = [(u, "block" if "/es/" in u else "allow") for u in urls[:40]]
+    want = plain_scores(examples, urls)
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(frame).collect():
+        assert math.isclose(r.score, want[urls[r.page_id]], abs_tol=1e-9)
+
+
 def test_rules(spark):
     urls = {
         "https://EXAMPLE.org/es/1": ("example.org", "/es/1", "example.org/es/", "block"),
