@@ -15,8 +15,9 @@ The log-likelihood differences of a text's words are length-normalised in severa
 the root of the length), and a logistic regression on these gives the score. It is fitted
 on the training texts themselves, each scored without its own contexts.
 
-Words and prefixes are counted in hash buckets, so the model has the same, known size for
-any corpus: 4 counts of 4 bytes times the numbers of buckets.
+The contexts of all labelled texts are counted; only the regression is fitted on a bounded
+share of them. Words and prefixes are counted in hash buckets, at least two for every distinct
+word and prefix counted, so the model grows with the vocabulary: 2 counts of 4 bytes a bucket.
 """
 
 from __future__ import annotations
@@ -30,31 +31,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import fresh, training_labels, with_columns
+from larder.llm.common import fresh, hashed_sample, stage, training_labels, with_columns
 from larder.llm.textarrays import Words, mix, words_of
 
+#: The least numbers of buckets, and the bits by which words and prefixes are told apart.
 WORD_BUCKETS = 1 << 21
 PREFIX_BUCKETS = 1 << 19
+WORD_BITS, PREFIX_BITS = 37, 25
 PREFIX_BYTES = 5
 WINDOW = 16
 DISCOUNT = 0.75
 N_FEATURES = 8
 
 
-def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The word and the prefix bucket of each word."""
-    whole = words.hashes() % np.uint64(WORD_BUCKETS)
-    stem = words.hashes(prefix=PREFIX_BYTES) % np.uint64(PREFIX_BUCKETS)
+def _buckets(
+    words: Words, word_buckets: int = WORD_BUCKETS, prefix_buckets: int = PREFIX_BUCKETS
+) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the prefix bucket of each word; numbers of buckets are powers of two."""
+    whole = words.hashes() % np.uint64(word_buckets)
+    stem = words.hashes(prefix=PREFIX_BYTES) % np.uint64(prefix_buckets)
     return whole.astype(np.int64), stem.astype(np.int64)
 
 
+def _room(distinct: int, least: int) -> int:
+    """A power of two with two buckets or more for each of ``distinct``."""
+    return max(least, 1 << (2 * distinct - 1).bit_length()) if distinct else least
+
+
 def _contexts(words: Words, buckets: np.ndarray) -> np.ndarray:
     """A hash of each word with the word before it; a text's first word has none before."""
-    before = np.full(len(buckets), WORD_BUCKETS, dtype=np.int64)
-    before[1:] = buckets[:-1]
+    before = np.zeros(len(buckets), dtype=np.int64)
+    before[1:] = buckets[:-1] + 1
     first = words.bounds[:-1]
-    before[first[first < words.bounds[1:]]] = WORD_BUCKETS
-    return mix((before * (WORD_BUCKETS + 1) + buckets).astype(np.uint64)).astype(np.int64)
+    before[first[first < words.bounds[1:]]] = 0
+    return mix(mix(before.astype(np.uint64)) + buckets.astype(np.uint64)).view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -82,8 +92,8 @@ class Counts:
                 mine = own_class == c
                 of_word[c] = np.maximum(of_word[c] - np.where(mine, own_words, 0), 0)
                 of_stem[c] = np.maximum(of_stem[c] - np.where(mine, own_prefixes, 0), 0)
-        shared_word = (of_word.sum(axis=0) + weight) / (both + weight * WORD_BUCKETS)
-        shared_stem = (of_stem.sum(axis=0) + weight) / (both + weight * PREFIX_BUCKETS)
+        shared_word = (of_word.sum(axis=0) + weight) / (both + weight * self.words.shape[1])
+        shared_stem = (of_stem.sum(axis=0) + weight) / (both + weight * self.prefixes.shape[1])
         logs = []
         for c in (0, 1):
             rest = DISCOUNT * stems[c] / totals[c]
@@ -96,12 +106,13 @@ class Counts:
 
 def _features(words: Words, counts: Counts, own_class: np.ndarray | None) -> np.ndarray:
     """The length-normalised differences of each text; zeros for one without words."""
-    whole, stem = _buckets(words)
+    word_buckets, prefix_buckets = counts.words.shape[1], counts.prefixes.shape[1]
+    whole, stem = _buckets(words, word_buckets, prefix_buckets)
     owner, lengths, texts = words.owner(), words.counts, len(words.rows)
     out = np.zeros((texts, N_FEATURES))
     if not len(whole):
         return out
-    key = owner * WORD_BUCKETS + whole
+    key = owner * word_buckets + whole
     distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
     mine = mine_stem = classes = None
     if own_class is not None:
@@ -110,7 +121,7 @@ def _features(words: Words, counts: Counts, own_class: np.ndarray | None) -> np.
         new = np.ones(len(order), dtype=bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
         mine = np.bincount(place[order][new], minlength=len(distinct))[place]
-        stem_key = owner * PREFIX_BUCKETS + stem
+        stem_key = owner * prefix_buckets + stem
         _, stem_place = np.unique(stem_key, return_inverse=True)
         mine_stem = np.bincount(stem_place[order][new], minlength=stem_place.max() + 1)[stem_place]
         classes = own_class[owner]
@@ -185,14 +196,15 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learns from documents whose id is labelled and not kept out.
 
-    ``most_rows`` bounds the labelled documents learned from (see ``training_labels``);
-    their ids and labels are broadcast, 16 bytes each. Labels without a document, or
+    Contexts are counted from all of them; ``most_rows`` bounds those the regression is fitted
+    on, a share by id hash. Their ids and labels are broadcast, 16 bytes each. Labels without a document, or
     documents without text, add nothing. Without a text of either class the score is the
     share of toxic labels for every text, or 0 without labels.
     """
     spark = documents.sparkSession
-    known = training_labels(labels, column, modulus, kept_out, most_rows)
-    train = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    known = training_labels(labels, column, modulus, kept_out, most_rows=1 << 62)
+    texts = documents.select("doc_id", "text")
+    train = texts.join(F.broadcast(known), "doc_id").select("text", "label")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +212,10 @@ def fit_toxicity(
             for words in words_of(batch.column(0)):
                 if not len(words.starts):
                     continue
-                whole, stem = _buckets(words)
+                whole, stem = _buckets(words, 1 << WORD_BITS, 1 << PREFIX_BITS)
                 of = label[words.rows.start : words.rows.stop][words.owner()]
                 context = _contexts(words, whole)
-                packed = (whole * PREFIX_BUCKETS + stem) * 2 + of
+                packed = (((whole << PREFIX_BITS) + stem) << 1) + of
                 order = np.lexsort((context, packed))
                 new = np.ones(len(order), dtype=bool)
                 a, b = packed[order], context[order]
@@ -214,16 +226,23 @@ def fit_toxicity(
 
     distinct = train.mapInArrow(contexts, "packed long, context long").distinct()
     by_word = distinct.groupBy("packed").agg(F.count("*").alias("n"))
-    table = by_word.select(
-        (F.col("packed") % 2).cast("int").alias("of"),
-        F.expr(f"cast(packed div {2 * PREFIX_BUCKETS} as int)").alias("word"),
-        F.expr(f"cast((packed div 2) % {PREFIX_BUCKETS} as int)").alias("stem"),
-        "n",
+    table = stage(
+        by_word.select(
+            (F.col("packed") % 2).cast("int").alias("of"),
+            F.shiftright("packed", PREFIX_BITS + 1).alias("word"),
+            (F.shiftright("packed", 1) % (1 << PREFIX_BITS)).alias("stem"),
+            "n",
+        ),
+        "toxic-words",
+    )
+    seen = [table.select(name).distinct().count() for name in ("word", "stem")]
+    sizes = [_room(seen[0], WORD_BUCKETS), min(_room(seen[1], PREFIX_BUCKETS), 1 << PREFIX_BITS)]
+    stacked = table.select(
+        "of", F.expr(f"stack(2, 0, word % {sizes[0]}, 1, stem % {sizes[1]}) as (kind, bucket)"), "n"
     )
-    stacked = table.select("of", F.expr("stack(2, 0, word, 1, stem) as (kind, bucket)"), "n")
     rows = stacked.groupBy("of", "kind", "bucket").agg(F.sum("n").cast("int").alias("n")).toArrow()
     of, kind, bucket, n = (rows.column(c).to_numpy() for c in ("of", "kind", "bucket", "n"))
-    arrays = [np.zeros((2, size), dtype=np.float32) for size in (WORD_BUCKETS, PREFIX_BUCKETS)]
+    arrays = [np.zeros((2, size), dtype=np.float32) for size in sizes]
     for k in (0, 1):
         chosen = kind == k
         arrays[k][of[chosen], bucket[chosen]] = n[chosen]
@@ -243,7 +262,9 @@ def fit_toxicity(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["label", *(f"f{i}" for i in range(N_FEATURES))]
-    sample = train.mapInArrow(features, ", ".join(f"{name} double" for name in names)).toArrow()
+    fitted = hashed_sample(known, F.col("doc_id"), most_rows)
+    fit = texts.join(F.broadcast(fitted), "doc_id").select("text", "label")
+    sample = fit.mapInArrow(features, ", ".join(f"{name} double" for name in names)).toArrow()
     data = np.stack([sample.column(name).to_numpy() for name in names], axis=1)
     data = data[np.lexsort(data.T)]  # the fit must not depend on the order of partitions
     y, x = data[:, 0], data[:, 1:]

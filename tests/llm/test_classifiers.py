@@ -146,3 +146,19 @@ def test_presence_bits_against_sets():
         data = text.replace("A", "a").encode()
         grams = {data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)}
         assert row.sum() == len(grams)
+
+
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+    """Contexts come from texts beyond the bound of the regression, and buckets follow the words."""
+    monkeypatch.setattr(toxicity, "WORD_BUCKETS", 16)
+    monkeypatch.setattr(toxicity, "PREFIX_BUCKETS", 16)
+    texts = [(i, f"word{i} plain{i} text{i} {'vile' if i % 2 else 'mild'}{i}", i % 2) for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), most_rows=60)
+    counts = model.counts.value
+    used = [i for i, _, _ in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert counts.words.sum() == 4 * len(used) and counts.words.shape[1] >= 8 * len(used)
+    for i in used:
+        chunk = next(words_of(pa.array([f"vile{i}" if i % 2 else f"mild{i}"])))
+        bucket, _ = toxicity._buckets(chunk, counts.words.shape[1], counts.prefixes.shape[1])
+        assert counts.words[i % 2, bucket[0]] >= 1
