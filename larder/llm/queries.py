@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from larder.llm import (
     host_rules,
+    importance,
     jaccard_join,
     language_id,
     mixing,
     neighbours,
     packing,
+    pii,
     quality_classifier,
+    spelling,
     toxicity,
     url_filter,
     warc,
@@ -104,6 +107,27 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), modulus=20, k=20)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's words, the drawn ones ranked."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary with its form and root."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and the terms that give it away."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -115,11 +139,26 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_neighbours": op10_neighbours,
+    "op11_importance": op11_importance,
+    "op12_spelling": op12_spelling,
+    "op13_pii": op13_pii,
     "pipeline": corpus_pipeline.run,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+#: Steps of the CRC's table, and the CRC of the hexadecimal digits in column ``hex``, as CTE and expression.
+_CRC_TABLE = """
+        crc_table AS (
+          SELECT list(list_reduce(list_prepend(i, range(8)),
+                   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps
+          FROM (SELECT unnest(range(256)) AS i)
+        )"""
+_CRC = """xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(0, len(hex) // 2), lambda i: ('0x' || hex[2 * i + 1 : 2 * i + 2])::BIGINT)),
+            lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)))"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
     "op2_jaccard": rf"""
         WITH RECURSIVE words AS (
@@ -199,4 +238,68 @@ ORACLE_SQL = {
                CASE WHEN p.page_id < l.original THEN l.original END AS refers_to
         FROM p LEFT JOIN last l ON p.body = l.body AND p.n >= 1000
     """,
+    "op11_importance": rf"""
+        WITH {_CRC_TABLE.strip()}, found AS (
+          SELECT doc_id, TRUE AS corpus, {_LOWER.format("coalesce(text, '')")} AS t FROM documents
+          UNION ALL SELECT NULL, FALSE, {_LOWER.format("coalesce(text, '')")} FROM benchmark
+        ), words AS (
+          SELECT doc_id, corpus, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM found
+        ), counts AS (SELECT doc_id, corpus, w, count(*) AS k FROM words GROUP BY ALL),
+        spelled AS (SELECT w, hex(encode(w)) AS hex FROM (SELECT DISTINCT w FROM counts)),
+        places AS (SELECT w, {_CRC} % 10000 AS bucket FROM spelled, crc_table),
+        buckets AS (
+          SELECT bucket, coalesce(sum(k) FILTER (WHERE corpus), 0) AS s, coalesce(sum(k) FILTER (WHERE NOT corpus), 0) AS t
+          FROM counts JOIN places USING (w) GROUP BY bucket
+        ), totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM buckets),
+        gains AS (
+          SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+          FROM buckets, totals
+        ), weights AS (
+          SELECT doc_id, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS weight
+          FROM counts JOIN places USING (w) JOIN gains USING (bucket) WHERE corpus GROUP BY doc_id
+        ), noise AS (
+          SELECT doc_id, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM documents
+        ), scores AS (
+          SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+          FROM noise LEFT JOIN weights USING (doc_id)
+        ), able AS (
+          SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+          FROM scores WHERE n_features >= 20
+        )
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+        FROM scores s LEFT JOIN able a ON a.doc_id = s.doc_id
+    """,
+    "op12_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE.strip()}, runs AS (
+          SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents
+        ), counts AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 6 GROUP BY ALL),
+        spelled AS (SELECT *, hex(encode(doc_id || ':' || w)) AS hex FROM counts),
+        hashed AS (SELECT w, k, {_CRC} AS h FROM spelled, crc_table),
+        altered AS (
+          SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed
+        ), words AS (SELECT word, sum(k)::BIGINT AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        cuts AS (
+          SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS short FROM
+            (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+        ), holes AS (
+          SELECT word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) AS hole FROM
+            (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+          SELECT c.word, c.n, w.word AS other, w.n AS other_n FROM cuts c JOIN words w ON w.word = c.short
+          UNION ALL SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.short
+          UNION ALL SELECT a.word, a.n, b.word, b.n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+        ), ranked AS (
+          SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+                 row_number() OVER (PARTITION BY word ORDER BY other_n DESC, hex(encode(other))) AS place FROM near
+        ), forms AS (
+          SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+                 CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+          FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1
+        ), paths AS (
+          SELECT word, word AS at FROM forms
+          UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL
+        ), ends AS (SELECT p.word, p.at AS root FROM paths p JOIN forms f ON f.word = p.at WHERE f.form IS NULL)
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
+    """,
 }

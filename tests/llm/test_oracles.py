@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, name):
 
 def test_one_query_for_each_operator():
     assert sorted(queries.QUERIES) == sorted(
-        {next(q for q in queries.QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)} | {"pipeline"}
+        {next(q for q in queries.QUERIES if q.startswith(f"op{n}_")) for n in range(1, 14)} | {"pipeline"}
     )
