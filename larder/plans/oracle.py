@@ -637,6 +637,20 @@ QUERIES: dict[str, str] = {
         LEFT JOIN {{q_stream_items}} i ON i.arrival = f.arrival
         WHERE f.copy = 1""",
     "stream_weekly_consumption": "SELECT * FROM {consumption_weekly}",
+    # A week is closed when the latest change is seven days past its end.
+    "stream_weekly_windows": f"""
+        SELECT CAST(DATE_TRUNC('week', h.change_date) AS DATE) AS week,
+          p.description AS product_desc, p.product_type, COUNT(*) AS consumed
+        FROM {{freezer_position_history}} h JOIN {{product}} p ON p.id = h.product
+        WHERE DATE_TRUNC('week', h.change_date) + INTERVAL 14 DAY
+            <= (SELECT MAX(change_date) FROM {{freezer_position_history}})
+          AND p.id NOT {_BANNED} GROUP BY 1, 2, 3""",
+    # One file has all changes, so none is late.
+    "stream_weekly_late": """
+        SELECT COUNT(*) AS arrived, COUNT(*) FILTER (WHERE shut) AS closed,
+          COUNT(*) FILTER (WHERE NOT shut) AS open, CAST(0 AS BIGINT) AS late
+        FROM (SELECT DATE_TRUNC('week', change_date) + INTERVAL 14 DAY
+                <= MAX(change_date) OVER () AS shut FROM {freezer_position_history})""",
     "constraint_violations": _constraint_sql(),
 }
 

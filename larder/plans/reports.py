@@ -38,7 +38,7 @@ from larder.sources.testdata import (
     RANGE_START,
     TestTables,
 )
-from larder.streaming import order_ingest, weekly_consumption
+from larder.streaming import order_ingest, weekly_consumption, weekly_windows
 
 Plan = Callable[[TestTables], DataFrame]
 REPORTS: dict[str, Plan] = {}
@@ -628,21 +628,42 @@ def stream_order_ingest(t: TestTables) -> DataFrame:
     return plain(orders.join(per_order, "id", "left").drop("id"))
 
 
-@report
-def stream_weekly_consumption(t: TestTables) -> DataFrame:
-    """The weekly report from a stream over the history files."""
-    folder = _folder(t, "weekly-consumption")
-    history = (
+def _history_stream(t: TestTables) -> DataFrame:
+    return (
         t.spark.readStream.schema(t.events.schema)
         .parquet(f"{t.sf_dir}/events.parquet*")  # a stream takes a folder or a pattern
         .select(F.col("user_id").alias("product"), F.col("ts").alias("change_date"))
     )
-    weekly_consumption.start_weekly_consumption(history, folder).awaitTermination()
+
+
+@report
+def stream_weekly_consumption(t: TestTables) -> DataFrame:
+    """The weekly report from a stream over the history files."""
+    folder = _folder(t, "weekly-consumption")
+    weekly_consumption.start_weekly_consumption(_history_stream(t), folder).awaitTermination()
     return weekly_consumption.read_weekly_consumption(
         t.spark, folder, t.product, t.product_exclude, DAYS, CONSUMPTION_AS_OF
     ).orderBy(asc("week"), asc("product_desc"))
 
 
+@report
+def stream_weekly_windows(t: TestTables) -> DataFrame:
+    """The weeks that event time has closed, from windows over the history files."""
+    folder = _folder(t, "weekly-windows")
+    weekly_windows.run_weekly_windows(_history_stream(t), folder)
+    return weekly_windows.read_closed_weeks(t.spark, folder, t.product, t.product_exclude).orderBy(
+        asc("week"), asc("product_desc")
+    )
+
+
+@report
+def stream_weekly_late(t: TestTables) -> DataFrame:
+    """Changes that arrived, those in closed and in open weeks, and late ones."""
+    folder = _folder(t, "weekly-windows")
+    weekly_windows.run_weekly_windows(_history_stream(t), folder)
+    return weekly_windows.late_changes(t.spark, folder)
+
+
 # Constraints
 
 

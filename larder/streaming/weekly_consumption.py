@@ -1,9 +1,8 @@
 """Weekly consumption kept up to date from a stream of position changes.
 
-Each micro-batch adds its units per product and day to one table of daily counters, so no
-change is too late, and a report applies its window when it reads them. The table is
-written anew for each batch that has changes, under the batch's number: a repeated batch
-starts from the same older table and overwrites its own.
+Each micro-batch files its units per product and day under its own number, so no change
+is too late and no stored counter is read or written again; a repeated batch overwrites
+its own. A report applies its window when it adds them up.
 """
 
 from __future__ import annotations
@@ -26,33 +25,16 @@ def daily_counts(history: DataFrame) -> DataFrame:
     )
 
 
-def _newest(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """The newest batch with counters, before the one given."""
-    found = spark.read.format("binaryFile").load(f"{root}/counts").select(F.col("batch").cast("bigint"))
-    if before is not None:
-        found = found.where(F.col("batch") < before)
-    return found.agg(F.max("batch")).first()[0]
-
-
-def add_batch(spark: SparkSession, root: str, changes: DataFrame, batch: int) -> None:
-    """Adds the changes of a micro-batch to the counters and drops tables no retry needs."""
-    spark.createDataFrame([], COUNTERS).write.mode("ignore").parquet(f"{root}/counts/batch=-1")
-    last = _newest(spark, root, batch)
-    stored = spark.read.schema(COUNTERS).parquet(f"{root}/counts/batch={last}")
-    added = stored.unionByName(daily_counts(changes))
-    counters = added.groupBy("day", "product").agg(F.sum("consumed").alias("consumed"))
-    counters.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
-    older = _newest(spark, root, last)
-    if older is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/counts/batch={older}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def add_batch(root: str, changes: DataFrame, batch: int) -> None:
+    """Files the counters of a micro-batch."""
+    daily_counts(changes).write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
 
 
 def start_weekly_consumption(history: DataFrame, root: str) -> StreamingQuery:
     """Counts every change that has landed since the last run, then stops."""
 
     def write(changes: DataFrame, batch: int) -> None:
-        add_batch(changes.sparkSession, root, changes, batch)
+        add_batch(root, changes, batch)
 
     return (
         history.select("product", "change_date")
@@ -75,7 +57,8 @@ def read_weekly_consumption(
 
     Equal to the batch report where ``as_of`` is a midnight.
     """
-    counters = spark.read.schema(COUNTERS).parquet(f"{root}/counts/batch={_newest(spark, root)}")
+    spark.createDataFrame([], COUNTERS).write.mode("ignore").parquet(f"{root}/counts/batch=-1")
+    counters = spark.read.schema(COUNTERS).parquet(f"{root}/counts")
     counts = (
         counters.where(trailing_window(F.col("day").cast("timestamp_ntz"), days, as_of))
         .groupBy(week_start(F.col("day")).alias("week"), "product")
