@@ -532,6 +532,7 @@ QUERIES: dict[str, str] = {
         UNION ALL
         SELECT 'update', COUNT(*) FILTER (WHERE copy = 1 AND NOT known),
           COUNT(*) FILTER (WHERE copy > 1 OR known), CAST(0 AS BIGINT) FROM {q_numbered}""",
+    "order_load_observed": "SELECT * FROM {order_load_metrics}",
     "product_mapping_list": """
         SELECT m.external_product_id, m.external_name, m.local_product_id,
           p.description AS local_product_desc

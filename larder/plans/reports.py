@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -379,28 +379,24 @@ def normalize_order_items(t: TestTables) -> DataFrame:
 # The batch is used by several merges, so it is staged once it is typed and resolved.
 
 
-def _resolved(t: TestTables, update_existing: bool, documents: DataFrame) -> DataFrame:
-    headers = staged(ingest.normalize_order_headers(documents), "headers")
+def _resolved(t: TestTables, update_existing: bool, headers: DataFrame) -> DataFrame:
     return staged(
-        order_merge.resolve_orders(t.supplier_order, headers, update_existing), "resolved"
+        order_merge.resolve_orders(t.supplier_order, staged(headers, "headers"), update_existing), "resolved"
     )
 
 
 def _merged_orders(t: TestTables, update_existing: bool) -> DataFrame:
+    headers = ingest.normalize_order_headers(t.documents.where("part = 0"))
     return order_merge.merge_orders(
-        t.supplier_order,
-        _resolved(t, update_existing, t.documents.where("part = 0")),
-        update_existing,
-        PLATFORM_AS_OF,
+        t.supplier_order, _resolved(t, update_existing, headers), update_existing, PLATFORM_AS_OF
     )
 
 
 def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
-    documents = staged(t.documents, "documents")
-    items = staged(ingest.normalize_order_items(documents), "items")
-    resolved = _resolved(t, update_existing, documents)
+    typed = staged(ingest.type_documents(t.documents), "typed")
+    resolved = _resolved(t, update_existing, ingest.headers_of(typed))
     return order_merge.merge_order_items(
-        t.supplier_order_item, resolved, items, update_existing, after_id=F.lit(0)
+        t.supplier_order_item, resolved, ingest.items_of(typed), update_existing, after_id=F.lit(0)
     )
 
 
@@ -435,6 +431,19 @@ def order_load_metrics(t: TestTables) -> DataFrame:
     )
 
 
+@report
+def order_load_observed(t: TestTables) -> DataFrame:
+    """The same counts, taken while the resolved orders of either mode are written."""
+    headers = staged(_headers(t), "headers")
+    rows = []
+    for mode, update in (("insert", False), ("update", True)):
+        seen = Observation("load")
+        staged(order_merge.observed_load(order_merge.resolve_orders(t.supplier_order, headers, update), seen), "resolved")
+        counts = order_merge.load_counts(seen, update)
+        rows.append((mode, counts["inserted"], counts["updated"], counts["skipped"]))
+    return t.spark.createDataFrame(rows, "mode string, inserted bigint, updated bigint, skipped bigint")
+
+
 # Product mapping
 
 

@@ -65,3 +65,23 @@ ORDER_DOCUMENT = _table(
     franchise_tax=TEXT, invoices=T.ArrayType(INVOICE), orderItems=T.ArrayType(ORDER_LINE),
 )
 ORDER_PAGE = _table(content=T.ArrayType(ORDER_DOCUMENT))
+
+# Documents once their fields are typed: one row each, the header's fields in part 0.
+TYPED_ITEM = _table(
+    platform_item_id=LONG, external_product_id=LONG, external_product_name=TEXT,
+    external_category=TEXT, quantity=AMOUNT, price_unit=PRICE, created_at=MOMENT,
+    nfe_bling_id=LONG, sale_order_bling_id=LONG,
+)
+TYPED_HEADER = _table(
+    platform_order_id=LONG, store_id=LONG, platform_status=INT, total=MONEY, franchise_tax=MONEY,
+    vhsys=LONG, type_of_load=INT, product_invoice_value=MONEY, product_invoice_doc=TEXT,
+    service_invoice_value=MONEY, service_invoice_doc=TEXT,
+)
+# Parts of deliveries that are not whole yet.
+PENDING = T.StructType(
+    [
+        *_table(delivery=LONG, part=INT, parts=INT, landed=T.TimestampType()).fields,
+        *TYPED_HEADER.fields,
+        T.StructField("items", T.ArrayType(TYPED_ITEM)),
+    ]
+)
