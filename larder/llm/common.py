@@ -115,11 +115,12 @@ def tree_sum(parts: DataFrame) -> np.ndarray | None:
     return tree_reduce(parts, np.float64, np.add)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, root) for each node of the edges (a, b): the smallest node it is connected to.
 
     Alternates the large-star and small-star steps over tables in the shared folder until
-    nothing changes. Minima are aggregated map-side, so a node of many neighbours is a row
+    nothing changes; rounds grow with the logarithm of a path's length, and an unfinished
+    result is an error. Minima are aggregated map-side, so a node of many neighbours is a row
     per task.
     """
     pairs = edges.select(
@@ -127,7 +128,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     ).where("a <> b")
     current = stage(pairs.distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         both = current.select("a", "b").unionAll(current.select(F.col("b"), F.col("a")).toDF("a", "b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
@@ -149,6 +150,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = current.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     tops = roots.select("root").distinct()
     return roots.unionByName(tops.select(F.col("root").alias("node"), "root"))

@@ -18,10 +18,10 @@ chance; two linked sets agree on more than ``SPARE`` segments, so such segments
 only by sets that have more than ``SPARE`` of them.
 
 Under a threshold of 85/100 segments hold so few shingles that most would meet by chance. There
-sets meet by the shingles of their prefixes instead: in any one order of all shingles, linked
-sets share one of their first ``size - ceil(size * num / den) + 1``. The order puts rare
-shingles first, by counts in hash buckets; which order it is has no effect on the links, only
-on how many sets meet that have none.
+sets meet by the shingles of their prefixes instead, within a level: in any one order of all
+shingles, linked sets share one of their first ``size - ceil(size * num / den) + 1``. The order
+puts rare shingles first, by the magnitude of counts in hash buckets, a byte each; which order
+it is has no effect on the links, only on how many sets meet that have none.
 
 A block of many shingles is dealt out as pairs of chunks, each with bounded memory, and
 their links are joined to components afterwards.
@@ -149,22 +149,34 @@ def _keys(grams: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
 
 
 def _prefix_keys(
-    grams: np.ndarray, bounds: np.ndarray, rule: Rule, counts: np.ndarray
+    grams: np.ndarray, bounds: np.ndarray, rule: Rule, ranks: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) for every shingle in the prefix of a text's set, the rarest by ``counts`` first."""
+    """(text, key) for every shingle in the prefix of a text's set, the least ``ranks`` first.
+
+    Sets meet within a level only: in their own, and in that of the largest set they link with.
+    """
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((grams, counts[_rank_bucket(grams, len(counts))], owner))
+    order = np.lexsort((grams, ranks[_rank_bucket(grams, len(ranks))], owner))
     used = np.arange(len(grams)) - bounds[:-1][owner] < rule.prefix(sizes)[owner]
-    return owner[used], grams[order][used].view(np.int64)
+    text, gram = owner[used], grams[order][used]
+    own = np.searchsorted(rule.levels, sizes, side="right") - 1
+    above = np.searchsorted(rule.levels, sizes * rule.den // rule.num, side="right") - 1
+    higher = (above > own)[text]
+    text, gram = np.concatenate([text, text[higher]]), np.concatenate([gram, gram[higher]])
+    level = np.concatenate([own[text[: len(higher)]], above[text[len(higher) :]]])
+    return text, mix(gram + mix(level.astype(np.uint64))).view(np.int64)
 
 
 def _rank_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _shingle_counts(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
-    """How many sets hold the shingles of each hash bucket, four shingles a bucket up to the bound."""
+def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
+    """The magnitude of how many sets hold the shingles of each hash bucket, a byte each.
+
+    Four shingles a bucket up to the bound on buckets.
+    """
     buckets = 1 << min(max(shingles // 4, 1 << 10).bit_length(), MOST_RANK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +184,14 @@ def _shingle_counts(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
         for batch in batches:
             for words in words_of(batch.column(0)):
                 grams, _ = _sets(words, rule.n)
-                counts += np.bincount(_rank_bucket(grams, buckets), minlength=buckets).astype(np.uint32)
+                bucket, n = np.unique(_rank_bucket(grams, buckets), return_counts=True)
+                counts[bucket] += n.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["part"])
 
     counts = tree_reduce(texts.select("text").mapInArrow(run, "part binary"), np.uint32, np.add)
-    return np.zeros(buckets, dtype=np.uint32) if counts is None else counts
+    if counts is None:
+        return np.zeros(buckets, dtype=np.uint8)
+    return (8 * np.log2(counts + 1.0)).astype(np.uint8)  # 256 steps for 32 bits
 
 
 class _Tree:
@@ -309,17 +324,26 @@ def similar_components(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     alone, as does a row without doc_id (its component is null unless an equal set has an
     id). Rows with the same doc_id are rows of their own.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _components(documents.select("doc_id", "text"), rule).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(documents: DataFrame, rule: Rule) -> DataFrame:
+    """``similar_components`` with ``mark``, the hash of the text, and ``group``.
+
+    Rows of equal sets, and of sets linked by others, have the same group: a number made from
+    the sets and not from ids, which may repeat. It is null for empty sets.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column(1)):
                 grams, bounds = _sets(words, rule.n)
                 one, two = _signatures(grams, bounds)
-                ids = batch.column(0).slice(words.rows.start, len(words.rows))
+                ids, marks = (batch.column(i).slice(words.rows.start, len(words.rows)) for i in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
-                    names=["doc_id", "n_shingles", "sig", "sig2"],
+                    [ids, marks, pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
+                    names=["doc_id", "mark", "n_shingles", "sig", "sig2"],
                 )
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +358,7 @@ def similar_components(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[text])], names=["key", "sig"])
 
     sets = stage(
-        texts.mapInArrow(signatures, "doc_id long, n_shingles long, sig long, sig2 long"), "sets"
+        texts.mapInArrow(signatures, "doc_id long, mark long, n_shingles long, sig long, sig2 long"), "sets"
     )
     reps = (
         sets.where("n_shingles > 0")
@@ -345,11 +369,13 @@ def similar_components(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     ranks = None
     if not rule.by_segments:
         shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
-        ranks = texts.sparkSession.sparkContext.broadcast(_shingle_counts(texts, rule, shingles))
+        ranks = texts.sparkSession.sparkContext.broadcast(_shingle_ranks(texts, rule, shingles))
     met = texts.mapInArrow(postings, "key long, sig long").distinct()
     running = Window.partitionBy("key").orderBy("sig").rowsBetween(Window.unboundedPreceding, 0)
     edges = met.select(F.col("sig").alias("a"), F.first("sig").over(running).alias("b")).where("a <> b")
     blocks = components(edges)
+    if ranks is not None:
+        ranks.unpersist()
     active = stage(
         reps.join(blocks, F.col("sig") == F.col("node")).select("rep", "n_shingles", "sig", "root"), "active"
     )
@@ -359,22 +385,23 @@ def similar_components(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     )
     most = sizes.agg(F.max("chunks")).first()[0]
     if most is None:
-        roots = None
+        labelled = reps.select("*", F.col("sig").alias("group"), F.col("rep").alias("least"))
     else:
-        roots = _links(texts, active, sizes, rule)
-        roots = components(roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))) if most > 1 else roots.select(
-            F.col("rep").alias("node"), "root"
+        links = _links(texts, active, sizes, rule)
+        ends = components(links.select(F.col("sig").alias("a"), F.col("root").alias("b"))) if most > 1 else links.select(
+            F.col("sig").alias("node"), "root"
         ).where("node <> root")
-    joined = sets.join(reps, ["n_shingles", "sig", "sig2"], "left")
-    if roots is None:
-        return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-    return joined.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")
+        grouped = reps.join(ends, F.col("sig") == F.col("node"), "left")
+        grouped = stage(grouped.select(*reps.columns, F.coalesce("root", "sig").alias("group")), "groups")
+        least = grouped.groupBy("group").agg(F.min("rep").alias("least"))
+        labelled = grouped.join(least, "group")
+    return sets.join(labelled.drop("rep"), ["n_shingles", "sig", "sig2"], "left").select(
+        "doc_id", "mark", "n_shingles", "group", F.coalesce("least", "doc_id").alias("component_id")
     )
 
 
 def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(rep, root): each set of the blocks with the least id found linked to it."""
+    """(sig, root): each set of the blocks with the least signature found linked to it."""
     chunked = active.join(sizes, F.col("root") == F.col("block"))
     chunked = stage(
         chunked.select(
@@ -420,9 +447,10 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) ->
         (F.col("rep") == F.col("doc_id")) & (F.col("n_shingles") == F.col("size")) & (F.col("sig") == F.col("of")),
     )
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = rows.select("rep", "block", "chunk", "chunks", "grams", other.alias("other"))
+    # An id that repeats may bring its set twice; one of equal sets is enough.
+    dealt = rows.select("sig", "block", "chunk", "chunks", "grams", other.alias("other"))
     dealt = dealt.where("chunks = 1 OR chunk <> other").select(
-        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "grams"
+        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sig", "grams"
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,39 +458,45 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) ->
 
         def done() -> pa.RecordBatch:
             roots = block_roots(np.array(ids), sets, rule)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["rep", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["sig", "root"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
-            for *key, rep, grams in zip(*columns, strict=True):
+            for *key, sig, grams in zip(*columns, strict=True):
                 if key != group:
                     if len(sets) > 1:
                         yield done()
                     group, ids, sets = key, [], []
-                ids.append(rep)
+                ids.append(sig)
                 sets.append(np.frombuffer(grams, dtype=np.uint64))
         if len(sets) > 1:
             yield done()
 
     sorted_ = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return stage(sorted_.mapInArrow(solve, "rep long, root long"), "links")
+    found = stage(sorted_.mapInArrow(solve, "sig long, root long"), "links")
+    shipped.unpersist()
+    return found
 
 
 def drop_similar(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     """One row of each component, that with the smallest doc_id, columns as they were.
 
-    Rows without words or without doc_id stay. Of rows that repeat the smallest doc_id one
-    stays, that with the smallest hash of its text. ``documents`` is read several times and
-    should be a stored table.
+    Rows without words or without doc_id stay. Of rows of a component that repeat its smallest
+    doc_id one stays, that with the smallest hash of its text; rows that repeat an id in
+    another component stay too. ``documents`` is read several times and should be a stored
+    table.
     """
     plain = [f"c{i}" for i in range(len(documents.columns))]
     place = {name: plain[i] for i, name in enumerate(documents.columns)}
     rows = documents.toDF(*plain)
     ids, texts = F.col(place["doc_id"]), F.col(place["text"])
-    found = similar_components(rows.select(ids.alias("doc_id"), texts.alias("text")), rule)
-    kept = found.where("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct()
+    found = _components(rows.select(ids.alias("doc_id"), texts.alias("text")), rule)
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    kept = found.where("group IS NOT NULL AND doc_id IS NOT NULL").groupBy("group").agg(first)
+    kept = kept.select("first.*").distinct()
     alone = ids.isNull() | ~F.coalesce(texts.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    chosen = rows.where(~alone).join(kept, ids == F.col("doc_id"), "left_semi")
-    repeats = Window.partitionBy(ids).orderBy(F.xxhash64(texts))
-    first = chosen.withColumn("turn", F.row_number().over(repeats)).where("turn = 1").drop("turn")
-    return rows.where(alone).unionByName(first).toDF(*documents.columns)
+    same = (ids.cast("long") == F.col("doc_id")) & (F.xxhash64(texts) == F.col("mark"))
+    chosen = rows.where(~alone).join(kept, same, "left_semi")
+    repeats = Window.partitionBy(ids, F.xxhash64(texts)).orderBy(ids)
+    once = chosen.withColumn("turn", F.row_number().over(repeats)).where("turn = 1").drop("turn")
+    return rows.where(alone).unionByName(once).toDF(*documents.columns)

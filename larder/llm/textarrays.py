@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 * 1024**2
+CHUNK_BYTES = 512 * 1024
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,7 +101,7 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
-    """Ranges of texts of some megabytes together, with their bytes and bounds.
+    """Ranges of texts of about half a megabyte together, with their bytes and bounds.
 
     A text larger than a chunk makes a chunk of its own; no text is cut.
     """

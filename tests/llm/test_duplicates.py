@@ -112,7 +112,7 @@ def linked_at(rows, n, num, den):
     """component_id of rows (doc_id, text) by brute force over ``n``-word shingles."""
     sets = {}
     for i, text in rows:
-        words = text.split()
+        words = text.split(" ")
         sets[i] = {tuple(words[k : k + n]) for k in range(max(len(words) - n + 1, min(len(words), 1)))}
     root = dict(zip(sets, sets, strict=True))
     for a in sets:
@@ -159,3 +159,24 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     want = set(linked_at(rows, 5, 80, 100).values())
     assert want != set(linked_at(rows, 3, 90, 100).values())
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
+
+
+def test_a_repeated_id_loses_no_other_text(spark):
+    """Two texts of one id are told apart; of a component's rows one stays."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [
+        (7, " ".join(base)), (7, "entirely other words that nobody else has here"),
+        (3, " ".join([*base, "end"])), (9, "entirely other words that nobody else has here"),
+        (9, "a third text of its own, not like any of them"), (9, "a third text of its own, not like any of them"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(tuple(r) for r in drop_similar(frame).collect())
+    assert kept == sorted({rows[1], rows[2], rows[4]})
+    found = sorted((r.doc_id, r.component_id) for r in similar_components(frame).collect())
+    assert found == [(3, 3), (7, 3), (7, 7), (9, 7), (9, 9), (9, 9)]
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(chain, most_rounds=1)
