@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, stage, tree_reduce
+from larder.llm.common import components, stage
 from larder.llm.textarrays import Words, mix, words_of
 
 SPARE = 2
@@ -46,6 +46,7 @@ LEAST_SEGMENT_THRESHOLD = 0.85
 MOST_RANK_BITS = 22
 CHUNK_SHINGLES = 1_000_000
 BITS = 1 << 24
+PAGE = 512
 
 
 @dataclass(frozen=True)
@@ -175,23 +176,51 @@ def _rank_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
 def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
     """The magnitude of how many sets hold the shingles of each hash bucket, a byte each.
 
-    Four shingles a bucket up to the bound on buckets.
+    Four shingles a bucket up to the bound on buckets. Each task gives its counts in pages of
+    2 KB; those of a page are added up one after the other, so no task holds many.
     """
     buckets = 1 << min(max(shingles // 4, 1 << 10).bit_length(), MOST_RANK_BITS)
+    pages = max(buckets // PAGE, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, dtype=np.uint32)
         for batch in batches:
             for words in words_of(batch.column(0)):
                 grams, _ = _sets(words, rule.n)
                 bucket, n = np.unique(_rank_bucket(grams, buckets), return_counts=True)
                 counts[bucket] += n.astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["part"])
+        for first in range(0, pages, 1024):
+            rows = range(first, min(first + 1024, pages))
+            data = [counts[page * PAGE : (page + 1) * PAGE].tobytes() for page in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], names=["page", "part"])
 
-    counts = tree_reduce(texts.select("text").mapInArrow(run, "part binary"), np.uint32, np.add)
-    if counts is None:
-        return np.zeros(buckets, dtype=np.uint8)
-    return (8 * np.log2(counts + 1.0)).astype(np.uint8)  # 256 steps for 32 bits
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, np.zeros(0, dtype=np.uint64)
+
+        def ranked() -> pa.RecordBatch:
+            ranks = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)  # 255 steps for 32 bits
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["page", "part"]
+            )
+
+        for batch in batches:
+            for page, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(part.as_buffer(), dtype=np.uint32)
+                if page == current:
+                    total += counts
+                else:
+                    if current is not None:
+                        yield ranked()
+                    current, total = page, counts.astype(np.uint64)
+        if current is not None:
+            yield ranked()
+
+    parts = texts.select("text").mapInArrow(count, "page int, part binary")
+    rows = parts.repartition("page").sortWithinPartitions("page").mapInArrow(add, "page int, part binary")
+    ranks = np.zeros(buckets, dtype=np.uint8)
+    for row in rows.collect():  # MOST_RANK_BITS bound their bytes
+        ranks[row.page * PAGE :][: len(row.part)] = np.frombuffer(row.part, dtype=np.uint8)
+    return ranks
 
 
 class _Tree:
@@ -411,22 +440,22 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) ->
         "chunked",
     )
 
-    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, dtype=bool)
-        for batch in batches:
-            bits[(mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part"])
-
-    maybe = tree_reduce(chunked.select("rep").mapInArrow(bitmap, "part binary"), np.uint8, np.bitwise_or)
-    shipped = texts.sparkSession.sparkContext.broadcast(np.unpackbits(maybe).astype(bool))
+    bit = F.pmod("rep", F.lit(BITS))
+    field = chunked.groupBy(F.shiftright(bit, 6).alias("place")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(rep, {BITS}) % 64 AS INT))")).alias("bits")
+    ).toArrow()  # BITS / 64 rows at most
+    maybe = np.zeros(BITS // 64, dtype=np.uint64)
+    maybe[field.column("place").to_numpy()] = field.column("bits").to_numpy().view(np.uint64)
+    shipped = texts.sparkSession.sparkContext.broadcast(maybe)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of documents whose id may be among the active ones."""
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.flatnonzero(~np.isnan(ids) if ids.dtype.kind == "f" else np.ones(len(ids), bool))
-            bucket = (mix(ids[known].astype(np.int64).astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-            part = batch.take(pa.array(known[shipped.value[bucket]]))
+            bit = ids[known].astype(np.int64) & (BITS - 1)
+            found = (shipped.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            part = batch.take(pa.array(known[found]))
             for words in words_of(part.column(1)):
                 grams, bounds = _sets(words, rule.n)
                 one, _ = _signatures(grams, bounds)
