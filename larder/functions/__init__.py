@@ -10,7 +10,13 @@ from larder.functions.predicates import (
     without_excluded,
 )
 from larder.functions.sorting import asc, desc
-from larder.functions.texts import load_type_label, order_status_label, parse_moment, strip
+from larder.functions.texts import (
+    load_type_label,
+    moment_label,
+    order_status_label,
+    parse_moment,
+    strip,
+)
 
 __all__ = [
     "asc",
@@ -19,6 +25,7 @@ __all__ = [
     "desc",
     "load_type_label",
     "moment",
+    "moment_label",
     "number_starts_with",
     "order_status_label",
     "parse_decimal",

@@ -45,3 +45,17 @@ def order_status_label(code: Column) -> Column:
 
 def load_type_label(code: Column) -> Column:
     return _labels(code, LOAD_TYPE_LABELS, F.lit(UNKNOWN_LOAD_TYPE))
+
+
+# How a stored time is shown, and what stands for none.
+MOMENT_SHOWN, DAY_SHOWN, NO_MOMENT = "$3/$2/$1 $4", "$3/$2/$1", "—"
+
+
+def moment_label(ts: Column, shown: str = MOMENT_SHOWN) -> Column:
+    """A local time as 'DD/MM/YYYY HH:MM', or as its day.
+
+    Made from the ISO text: ``date_format`` takes an instant, and a local time that the
+    session's zone skips has none.
+    """
+    iso = r"^(.+)-(\d\d)-(\d\d) (\d\d:\d\d).*$"
+    return F.coalesce(F.regexp_replace(ts.cast("string"), iso, shown), F.lit(NO_MOMENT))

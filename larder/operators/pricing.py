@@ -41,9 +41,16 @@ def supplier_orders_summary(
     orders: DataFrame, items: DataFrame, type_of_load: int | None = None
 ) -> DataFrame:
     """Order headers with the totals of their items, optionally of one load type."""
+    return orders_with_totals(orders, items_per_order(items), type_of_load)
+
+
+def orders_with_totals(
+    orders: DataFrame, totals: DataFrame, type_of_load: int | None = None
+) -> DataFrame:
+    """The same from totals by order that are there already."""
     if type_of_load is not None:
         orders = orders.where(F.col("type_of_load") == type_of_load)
-    totals = items_per_order(items).withColumnRenamed("order_id", "id")
+    totals = totals.withColumnRenamed("order_id", "id")
     none = F.lit(0).cast("bigint")
     return orders.join(totals, "id", "left").select(
         "id", "platform_order_id", "vhsys", "platform_status", "type_of_load", "total",

@@ -13,10 +13,11 @@ from larder.operators.mapping import mapping_sync
 from larder.operators.merging import assign_ids
 from larder.operators.purchasing import order_status_apply
 from larder.operators.replenishment import purchase_order_build
+from larder.operators.totals import add_totals, mapped_delta
 from larder.session import staged
 from larder.sources.tables import conform
 from larder.sources.versions import RANGE, VersionedTables
-from larder.streaming.order_ingest import ITEMS, ORDERS
+from larder.streaming.order_ingest import ITEMS, ORDERS, TOTALS, item_range, item_ranges
 
 HEADER, LINES = "purchase_order", "purchase_order_item"
 
@@ -96,14 +97,24 @@ def apply_order_status(tables: VersionedTables, requests: DataFrame, batch: int)
 def sync_mapping(tables: VersionedTables, mapping: DataFrame, batch: int) -> int:
     """Fills missing local ids of stored items from the mapping; returns how many.
 
-    Only ranges in which an item is filled are rewritten, each item in its own range.
+    Items without a local id are filed in ranges of their own, and only those are searched.
+    Filled items move to the range of the others, and the totals of their orders follow, in
+    the same commit; ranges in which nothing is filled are not opened again.
     """
     if tables.has_batch(batch):
         return 0
-    synced = mapping_sync(tables.read(ITEMS), mapping)
+    missing = [number for number in tables.ranges(ITEMS) if number % 2]
+    synced = mapping_sync(tables.read(ITEMS, missing), mapping)
     filled = {row[RANGE]: row["count"] for row in synced.where("filled").groupBy(RANGE).count().collect()}
-    if filled:
-        touched = mapping_sync(tables.read(ITEMS, list(filled)), mapping)
-        rows = conform(touched, ITEMS).schema.fieldNames()
-        tables.publish({ITEMS: touched.select(*rows, RANGE)}, batch)
+    if not filled:
+        return 0
+    ranges = [number // 2 for number in filled]
+    moved = staged(mapping_sync(tables.read(ITEMS, list(filled)), mapping), "synced")
+    placed = moved.withColumn(RANGE, item_range(F.floor(F.col(RANGE) / 2), F.col("local_product_id")))
+    rows = tables.read(ITEMS, item_ranges(ranges, missing=False)).unionByName(placed.drop("filled"))
+    frames = {ITEMS: rows}
+    if TOTALS in tables.schemas:
+        delta = mapped_delta(placed.where("filled").withColumn(RANGE, F.floor(F.col(RANGE) / 2)), RANGE)
+        frames[TOTALS] = add_totals(tables.read(TOTALS, ranges), delta, RANGE)
+    tables.publish(frames, batch, opened={ITEMS: item_ranges(ranges)})
     return sum(filled.values())

@@ -625,6 +625,39 @@ QUERIES: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'frequency_type', tipo FROM {q_share}
         UNION ALL SELECT DISTINCT 'frequency_category', categoria FROM {q_share}
           WHERE categoria IS NOT NULL""",
+    "supplier_orders_summary_bucketed": "SELECT * FROM {q_summary}",
+    "supplier_order_item_costs_bucketed": "SELECT * FROM {supplier_order_item_costs}",
+    "price_items_bucketed": "SELECT * FROM {q_priced}",
+    "item_frequency_by_month": "SELECT * FROM {q_frequency}",
+    "category_order_counts": f"""
+        SELECT i.external_category, o.type_of_load, COUNT(DISTINCT o.id) AS num_pedidos
+        FROM {{supplier_order_item}} i JOIN {{supplier_order}} o ON o.id = i.order_id
+        WHERE CAST(i.created_at AS DATE) BETWEEN DATE '{RANGE_START}' AND DATE '2000-12-17' GROUP BY 1, 2""",
+    "mapping_sync_stored": "SELECT * EXCLUDE (id, filled) FROM {mapping_sync}",
+    "supplier_orders_summary_stored": """
+        SELECT s.* REPLACE (COALESCE(x.unmapped, 0) AS unmapped_items)
+        FROM {q_summary} s LEFT JOIN (
+          SELECT order_id, COUNT(*) FILTER (WHERE local_product_id IS NULL
+            AND LOWER(external_category) IN ('sorvetes', 'acai')) AS unmapped
+          FROM {mapping_sync} GROUP BY order_id) x ON x.order_id = s.id""",
+    "product_changes": """
+        WITH new_state AS (
+          SELECT p.id, p.description, p.product_type,
+            CASE WHEN e.ativo THEN 1 WHEN NOT e.ativo THEN 2 ELSE p.status END AS status
+          FROM {product} p LEFT JOIN {product_flag_edit} e ON e.id = p.id WHERE p.id % 13 <> 5
+          UNION ALL SELECT id, description, product_type, status FROM {q_new_product}
+        ), sides AS (
+          SELECT COALESCE(b.id, a.id) AS id,
+            CASE WHEN b.id IS NULL THEN 'inserted' WHEN a.id IS NULL THEN 'deleted' ELSE 'changed' END AS change,
+            unnest(['description', 'product_type', 'status']) AS field,
+            unnest([b.description, b.product_type, CAST(b.status AS VARCHAR)]) AS old,
+            unnest([a.description, a.product_type, CAST(a.status AS VARCHAR)]) AS new
+          FROM {product} b FULL JOIN new_state a ON a.id = b.id)
+        SELECT * FROM sides WHERE old IS DISTINCT FROM new""",
+    "purchase_orders_display": """
+        SELECT id, COALESCE(strftime(order_date, '%d/%m/%Y %H:%M'), '—') AS order_date FROM {purchase_order}""",
+    "supplier_orders_display": """
+        SELECT id, COALESCE(strftime(order_date, '%d/%m/%Y'), '—') AS order_date FROM {q_summary}""",
     # The stream starts from empty tables: every order is new.
     "stream_order_ingest": f"""
         SELECT f.platform_order_id, f.store_id, l.platform_status, CAST(l.total AS DOUBLE) AS total,

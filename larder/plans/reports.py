@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions import asc, desc
+from larder.functions import asc, desc, moment_label
+from larder.functions.texts import DAY_SHOWN
 from larder.operators import (
+    changes,
     constraints,
     consumption,
     ingest,
@@ -28,8 +30,12 @@ from larder.operators import (
     replenishment,
     settings,
     stock,
+    totals,
 )
+from larder.plans import jobs
 from larder.session import shared_folder, staged
+from larder.sources import buckets
+from larder.sources import tables as sources
 from larder.sources.testdata import (
     CONSUMPTION_AS_OF,
     PLATFORM_AS_OF,
@@ -38,6 +44,7 @@ from larder.sources.testdata import (
     RANGE_START,
     TestTables,
 )
+from larder.sources.versions import RANGE, VersionedTables
 from larder.streaming import order_ingest, weekly_consumption, weekly_windows
 
 Plan = Callable[[TestTables], DataFrame]
@@ -607,6 +614,109 @@ def filter_options(t: TestTables) -> DataFrame:
     return options.orderBy(asc("filter"), asc("value"))
 
 
+# The same over tables stored for it: in buckets, by month, as totals, bitmaps and versions
+
+
+BUCKETS = 16
+
+
+def _bucketed(t: TestTables) -> tuple[DataFrame, DataFrame]:
+    """Orders and items in buckets of the order's id."""
+    folder = _folder(t, "buckets")
+    orders = buckets.store_bucketed(t.supplier_order, f"{folder}/orders", "id", BUCKETS)
+    return orders, buckets.store_bucketed(t.supplier_order_item, f"{folder}/items", "order_id", BUCKETS)
+
+
+@report
+def supplier_orders_summary_bucketed(t: TestTables) -> DataFrame:
+    return plain(pricing.supplier_orders_summary(*_bucketed(t)))
+
+
+@report
+def supplier_order_item_costs_bucketed(t: TestTables) -> DataFrame:
+    orders, items = _bucketed(t)
+    rows = pricing.supplier_order_items(items, t.product)
+    return plain(pricing.supplier_order_item_costs(rows, pricing.supplier_orders_summary(orders, items)))
+
+
+@report
+def price_items_bucketed(t: TestTables) -> DataFrame:
+    orders, items = _bucketed(t)
+    return plain(pricing.price_items(items, orders, t.product, RANGE_START, RANGE_END))
+
+
+def _numbered_items(t: TestTables) -> DataFrame:
+    """The items with a number for an id, as stored tables have."""
+    return t.supplier_order_item.withColumn("id", F.xxhash64("id"))
+
+
+@report
+def item_frequency_by_month(t: TestTables) -> DataFrame:
+    folder = _folder(t, "months")
+    sources.append_items(_numbered_items(t), folder)
+    items = sources.read_items(t.spark, folder, RANGE_START, RANGE_END)
+    return plain(pricing.item_frequency(items, t.supplier_order, t.product, RANGE_START, RANGE_END))
+
+
+@report
+def category_order_counts(t: TestTables) -> DataFrame:
+    """Distinct orders per category and load type; the range ends in mid-month."""
+    bitmaps = staged(totals.monthly_order_bitmaps(t.supplier_order_item, t.supplier_order), "bitmaps")
+    return totals.category_order_counts(
+        bitmaps, t.supplier_order_item, t.supplier_order, RANGE_START, "2000-12-17"
+    )
+
+
+def _stored_items(t: TestTables) -> VersionedTables:
+    """All items in versioned tables, with the totals of their orders, in three batches."""
+    tables = order_ingest.order_tables(t.spark, _folder(t, "items"))
+    of_order = tables.range_of(F.col("order_id"))
+    for batch in range(3):
+        part = _numbered_items(t).where(F.pmod("order_id", F.lit(3)) == batch)
+        items = sources.conform(part, order_ingest.ITEMS)
+        filed = items.withColumn(RANGE, order_ingest.item_range(of_order, F.col("local_product_id")))
+        added = totals.order_totals(items.withColumn(RANGE, of_order), RANGE)
+        stored = tables.read(order_ingest.ITEMS).unionByName(filed)
+        sums = totals.add_totals(tables.read(order_ingest.TOTALS), added, RANGE)
+        tables.publish({order_ingest.ITEMS: stored, order_ingest.TOTALS: sums}, batch)
+    jobs.sync_mapping(tables, t.product_mapping, 3)
+    return tables
+
+
+@report
+def mapping_sync_stored(t: TestTables) -> DataFrame:
+    """The stored items after a sync that opens only items without a local product."""
+    kept = [name for name in t.supplier_order_item.columns if name != "id"]
+    return plain(_stored_items(t).read(order_ingest.ITEMS).select(*kept))
+
+
+@report
+def supplier_orders_summary_stored(t: TestTables) -> DataFrame:
+    """The summary from totals that three batches and a sync have changed by deltas."""
+    stored = totals.shown_totals(_stored_items(t).read(order_ingest.TOTALS).drop(RANGE))
+    return plain(pricing.orders_with_totals(t.supplier_order, stored))
+
+
+@report
+def product_changes(t: TestTables) -> DataFrame:
+    """Every field that status edits and new products have changed, and removed products."""
+    edited = products.product_status_update(t.product, t.product_flag_edit).where("id % 13 <> 5")
+    new = products.product_insert(t.product, t.product_new)
+    names = ["id", "description", "product_type", "status"]
+    after = edited.select(*names).unionByName(new.select(*names))
+    return changes.field_changes(changes.changed_rows(t.product.select(*names), after, ["id"]), ["id"])
+
+
+@report
+def purchase_orders_display(t: TestTables) -> DataFrame:
+    return t.purchase_order.select("id", moment_label(F.col("order_date")).alias("order_date"))
+
+
+@report
+def supplier_orders_display(t: TestTables) -> DataFrame:
+    return _summary(t).select("id", moment_label(F.col("order_date"), DAY_SHOWN).alias("order_date"))
+
+
 # Streams: each runs to the end of its input in a folder of its own, then reads the state
 
 

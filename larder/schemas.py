@@ -77,6 +77,11 @@ TYPED_HEADER = _table(
     vhsys=LONG, type_of_load=INT, product_invoice_value=MONEY, product_invoice_doc=TEXT,
     service_invoice_value=MONEY, service_invoice_doc=TEXT,
 )
+# What the items of an order add up to.
+ORDER_TOTALS = _table(
+    order_id=LONG, order_date=MOMENT, total_items=LONG, total_qty=T.DecimalType(20, 3),
+    items_value=T.DecimalType(31, 5), unmapped_items=LONG,
+)
 # Parts of deliveries that are not whole yet.
 PENDING = T.StructType(
     [

@@ -75,6 +75,29 @@ def read_recent_history(
     return rows.where(F.col(MONTH) >= first).select(*schema.fieldNames())
 
 
+ITEM_MONTH = "item_month"
+
+
+def append_items(df: DataFrame, folder: str) -> None:
+    """Adds order items, filed by the month of their date; undated ones have a folder too."""
+    rows = conform(df, "supplier_order_item")
+    rows.withColumn(ITEM_MONTH, F.trunc(F.to_date("created_at"), "month")).hint(
+        "rebalance", F.col(ITEM_MONTH)
+    ).write.mode("append").partitionBy(ITEM_MONTH).parquet(f"{folder}/supplier_order_item")
+
+
+def read_items(
+    spark: SparkSession, folder: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Order items, or those of the months that a range of days reaches into."""
+    schema = schemas.TABLES["supplier_order_item"]
+    rows = spark.read.schema(f"{_ddl(schema)}, {ITEM_MONTH} date").parquet(f"{folder}/supplier_order_item")
+    if start is not None and end is not None:
+        first = F.trunc(F.lit(str(start)).cast("date"), "month")
+        rows = rows.where(F.col(ITEM_MONTH).between(first, F.lit(str(end)).cast("date")))
+    return rows.select(*schema.fieldNames())
+
+
 def _ddl(schema) -> str:
     return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema.fields)
 

@@ -11,6 +11,7 @@ from larder.operators import mapping, pricing, products, purchasing
 from larder.plans import jobs
 from larder.sources import tables as sources
 from larder.sources.versions import VersionedTables
+from larder.streaming.order_ingest import item_range
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -145,13 +146,19 @@ def test_mapping_sync_is_stored(spark, tmp_path):
     name = jobs.ITEMS
     tables = VersionedTables(spark, str(tmp_path / "t"), {name: schemas.TABLES[name]}, range_width=10)
     rows = spark.createDataFrame([(1, 5, None), (2, 15, None), (3, 25, 9)], "id bigint, external_product_id bigint, local_product_id bigint")
-    stored = sources.conform(rows, name).withColumn("key_range", tables.range_of(F.col("external_product_id")))
+    of_order = tables.range_of(F.col("external_product_id"))
+    stored = sources.conform(rows, name).withColumn("key_range", item_range(of_order, F.col("local_product_id")))
     tables.publish({name: stored}, 0)
     known = spark.createDataFrame([(15, 77), (25, 78)], "external_product_id bigint, local_product_id bigint")
     assert jobs.sync_mapping(tables, known, 1) == 1
     assert jobs.sync_mapping(tables, known, 1) == 0
     got = {r.id: r.local_product_id for r in tables.read(name).collect()}
     assert got == {1: None, 2: 77, 3: 9}
+    assert tables.ranges(name) == [1, 2, 4]  # the filled item moved; its old range is empty
+    assert {r.id for r in tables.read(name, [2]).collect()} == {2}
+    opened = mapping.mapping_sync(tables.read(name, [1]), known).inputFiles()
+    assert opened and all("key_range=1/" in path for path in opened)
+    assert jobs.sync_mapping(tables, known, 2) == 0
 
 
 def test_edits_of_one_key_are_folded(spark):
