@@ -115,6 +115,18 @@ PIECES: dict[str, str] = {
           1 AS status, TRIM(product_size) AS product_size,
           CASE WHEN sort_order > 0 THEN sort_order END AS sort_order, 1 AS system_user, excluir
         FROM {product_new} WHERE TRIM(product_name) <> '' AND TRIM(description) <> ''""",
+    "q_product_after": """
+        SELECT p.id, p.description, p.product_type,
+          CASE WHEN e.ativo THEN 1 WHEN NOT e.ativo THEN 2 ELSE p.status END AS status
+        FROM {product} p LEFT JOIN {product_flag_edit} e ON e.id = p.id WHERE p.id % 13 <> 5
+        UNION ALL SELECT id, description, product_type, status FROM {q_new_product}""",
+    "q_product_fields": """
+        SELECT COALESCE(b.id, a.id) AS id,
+          CASE WHEN b.id IS NULL THEN 'inserted' WHEN a.id IS NULL THEN 'deleted' ELSE 'changed' END AS change,
+          unnest(['description', 'product_type', 'status']) AS field,
+          unnest([b.description, b.product_type, CAST(b.status AS VARCHAR)]) AS old,
+          unnest([a.description, a.product_type, CAST(a.status AS VARCHAR)]) AS new
+        FROM {product} b FULL JOIN {q_product_after} a ON a.id = b.id""",
     "q_summary": """
         SELECT o.id, o.platform_order_id, o.vhsys, o.platform_status, o.type_of_load,
           CAST(o.total AS DOUBLE) AS total,
@@ -640,20 +652,7 @@ QUERIES: dict[str, str] = {
           SELECT order_id, COUNT(*) FILTER (WHERE local_product_id IS NULL
             AND LOWER(external_category) IN ('sorvetes', 'acai')) AS unmapped
           FROM {mapping_sync} GROUP BY order_id) x ON x.order_id = s.id""",
-    "product_changes": """
-        WITH new_state AS (
-          SELECT p.id, p.description, p.product_type,
-            CASE WHEN e.ativo THEN 1 WHEN NOT e.ativo THEN 2 ELSE p.status END AS status
-          FROM {product} p LEFT JOIN {product_flag_edit} e ON e.id = p.id WHERE p.id % 13 <> 5
-          UNION ALL SELECT id, description, product_type, status FROM {q_new_product}
-        ), sides AS (
-          SELECT COALESCE(b.id, a.id) AS id,
-            CASE WHEN b.id IS NULL THEN 'inserted' WHEN a.id IS NULL THEN 'deleted' ELSE 'changed' END AS change,
-            unnest(['description', 'product_type', 'status']) AS field,
-            unnest([b.description, b.product_type, CAST(b.status AS VARCHAR)]) AS old,
-            unnest([a.description, a.product_type, CAST(a.status AS VARCHAR)]) AS new
-          FROM {product} b FULL JOIN new_state a ON a.id = b.id)
-        SELECT * FROM sides WHERE old IS DISTINCT FROM new""",
+    "product_changes": "SELECT * FROM {q_product_fields} WHERE old IS DISTINCT FROM new",
     "purchase_orders_display": """
         SELECT id, COALESCE(strftime(order_date, '%d/%m/%Y %H:%M'), '—') AS order_date FROM {purchase_order}""",
     "supplier_orders_display": """

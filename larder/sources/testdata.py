@@ -1,8 +1,9 @@
 """The engine's tables derived from the test tables, as SQL both engines accept.
 
 ``{name}`` stands for a test table or another view. Every view reads the whole of
-its table. Ids are offset or shifted, not filtered, to get unmatched rows; sparse
-tables (settings, mappings, exclusions, edits) follow a product attribute.
+its table, and batches of edits have a row for each of its rows; some of their ids are
+shifted, so that they match nothing. Stored settings, mappings and exclusions are sparse
+by a product attribute, and orders of one priority are delivered a second time.
 """
 
 from __future__ import annotations
@@ -26,6 +27,13 @@ _LINE_ID = (
     "CONCAT(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey,'-',CAST(l_shipdate AS DATE))"
 )
 
+
+
+def _some_shifted(key: str, step: int) -> str:
+    """The key, moved out of the table's range in every ``step``-th row."""
+    return f"CASE WHEN {key} % {step} = 0 THEN {key} + 1000000000 ELSE {key} END"
+
+
 VIEWS: dict[str, str] = {
     "status": """
         SELECT 1 AS id, 'OPEN' AS status_code
@@ -113,28 +121,28 @@ VIEWS: dict[str, str] = {
           CAST(l_extendedprice AS DECIMAL(10,2)) AS supplier_price,
           CASE WHEN l_linenumber = 7 THEN 'obs' END AS notes
         FROM {{lineitem}}""",
-    "order_status_request": """
-        SELECT o_orderkey AS order_id, CASE o_orderkey % 4 WHEN 0 THEN 'RASCUNHO'
+    "order_status_request": f"""
+        SELECT {_some_shifted('o_orderkey', 19)} AS order_id, CASE o_orderkey % 4 WHEN 0 THEN 'RASCUNHO'
           WHEN 1 THEN 'CONFIRMADO' WHEN 2 THEN 'ENVIADO' ELSE 'RECEBIDO' END AS new_status
-        FROM {orders} WHERE o_orderstatus <> 'P'""",
-    "supplier_availability": """
-        SELECT p_partkey AS product_id, p_partkey % 3 <> 0 AS available,
+        FROM {{orders}}""",
+    "supplier_availability": f"""
+        SELECT {_some_shifted('p_partkey', 23)} AS product_id, p_partkey % 3 <> 0 AS available,
           CAST(p_retailprice AS DECIMAL(10,2)) AS price
-        FROM {part} WHERE p_brand <> 'Brand#6'""",
-    "order_edit": """
-        SELECT p_partkey AS product_id, p_size - 20 AS confirmed_qty
-        FROM {part} WHERE p_brand <> 'Brand#7'""",
-    "stock_minimum_edit": """
-        SELECT p_partkey AS product_id, p_size % 15 AS min_qty, p_size % 20 AS target_qty,
+        FROM {{part}}""",
+    "order_edit": f"""
+        SELECT {_some_shifted('p_partkey', 17)} AS product_id, p_size - 20 AS confirmed_qty
+        FROM {{part}}""",
+    "stock_minimum_edit": f"""
+        SELECT {_some_shifted('p_partkey', 13)} AS product_id, p_size % 15 AS min_qty, p_size % 20 AS target_qty,
           15 + p_size % 3 AS period_days
-        FROM {part} WHERE p_brand <> 'Brand#21'""",
-    "product_mapping_edit": """
-        SELECT p_partkey + 100000 AS external_product_id, CONCAT('NEW ', p_name) AS external_name,
+        FROM {{part}}""",
+    "product_mapping_edit": f"""
+        SELECT {_some_shifted('p_partkey', 5)} + 100000 AS external_product_id, CONCAT('NEW ', p_name) AS external_name,
           CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey END AS local_product_id
-        FROM {part} WHERE p_type = 'SMALL'""",
-    "product_flag_edit": """
-        SELECT p_partkey AS id, p_partkey % 11 <> 9 AS ativo, p_partkey % 17 = 0 AS excluir_calculos
-        FROM {part} WHERE p_type IN ('LARGE', 'PROMO')""",
+        FROM {{part}}""",
+    "product_flag_edit": f"""
+        SELECT {_some_shifted('p_partkey', 7)} AS id, p_partkey % 11 <> 9 AS ativo, p_partkey % 17 = 0 AS excluir_calculos
+        FROM {{part}}""",
     "product_new": """
         SELECT p_partkey AS seq,
           CASE WHEN p_partkey % 8 = 0 THEN '   '
@@ -142,7 +150,7 @@ VIEWS: dict[str, str] = {
           CONCAT(' ', p_name, ' new ') AS description, 'Sorvete' AS product_type,
           CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE ' 6kg ' END AS product_size,
           p_size % 4 AS sort_order, p_partkey % 5 = 0 AS excluir
-        FROM {part} WHERE p_brand IN ('Brand#1', 'Brand#2')""",
+        FROM {part}""",
     # Orders of one status are stored already; the rest are new. High-priority orders
     # are delivered a second time, changed and without their order number.
     "raw_order_header": """
