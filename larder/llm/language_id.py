@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import hashed_sample, id_share, tree_sum, with_columns
+from larder.llm.common import fresh, id_share, tree_sum, with_columns
 from larder.llm.textarrays import _FOLD, chunks
 
 BUCKETS = 1 << 15
@@ -94,12 +94,14 @@ def fit_languages(
     kept_out: int = 2,
     most_rows: int = 20_000,
     landmarks: int = 320,
+    least_rows: int = 200,
 ) -> LanguageModel:
     """Learns from text and language of documents that are not kept out.
 
-    ``most_rows`` bounds the texts the ridge regression sees (a share by id hash when there
-    are more); ``landmarks`` are spread over the languages, at least 8 each. Rows with null
-    text, language or id are not used.
+    ``most_rows`` bounds the texts the ridge regression sees: when there are more, a share by
+    id hash of each language, but of none fewer than ``least_rows`` as far as there are so
+    many, so that no language is lost as the others grow. ``landmarks`` are spread over the
+    languages, at least 8 each. Rows with null text, language or id are not used.
     """
     usable = documents.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull()
@@ -107,8 +109,12 @@ def fit_languages(
         & F.col("doc_id").isNotNull()
         & (id_share(F.col("doc_id"), modulus) != kept_out)
     )
-    train = hashed_sample(usable, F.col("doc_id"), most_rows)
-    languages = sorted(row[0] for row in train.select("lang").distinct().collect())
+    counts = {row.lang: row["count"] for row in usable.groupBy("lang").count().collect()}
+    languages, share, steps = sorted(counts), most_rows / max(sum(counts.values()), 1), 1 << 30
+    limits = [(name, int(steps * min(1.0, max(share, least_rows / counts[name])))) for name in languages]
+    bounds = usable.sparkSession.createDataFrame(limits, "lang string, below long")
+    taken = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.col("below")
+    train = usable.join(F.broadcast(bounds), "lang").where(taken).select("doc_id", "text", "lang")
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     each = max(8, -(-landmarks // len(languages)))
@@ -150,10 +156,13 @@ def fit_languages(
 def predict_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows with ``lang_pred`` and ``score`` (0 to 1) added; all columns stay.
 
+    A column of ``documents`` that has one of these names makes the new one ``lang_pred_`` or
+    ``score_``.
     A text that is null or has no letter is ``und`` with score 0, as is every text when
     nothing could be learned.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    names = fresh(documents, "lang_pred", "score")
+    fields = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:

@@ -25,8 +25,9 @@ from larder.llm.common import WORD, stage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-STEPS = 40
+STEPS = 200
 TOLERANCE = 1e-7
+WORST_MISS = 1e-4
 BINS = 1024
 
 
@@ -116,8 +117,12 @@ def _solve(histogram: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce(F.abs(excess) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0)).alias("miss"),
         )
         state = stage(moved, "multipliers")
-        if (state.agg(F.max("miss")).first()[0] or 0.0) < TOLERANCE:
+        miss = state.agg(F.max("miss")).first()[0] or 0.0
+        if miss < TOLERANCE:
             break
+    else:
+        if miss > WORST_MISS:
+            raise RuntimeError(f"a source is {miss:.1e} of its target off after {STEPS} steps")
     return state.select("source", "source_size", "target", "mean", "slope")
 
 

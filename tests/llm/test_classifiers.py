@@ -139,6 +139,56 @@ def test_odd_rows_language(spark, messy, nothing):
     assert {r.lang_pred for r in language_id.predict_languages(plain, empty).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_however_many_rows_others_have(spark):
+    words = {"aa": "alpha gamma delta", "bb": "omicron upsilon sigma", "cc": "zzyzx qwrtp vbnmk"}
+    rows = [(i, " ".join([words["aa" if i % 2 else "bb"]] * 3) + f" {i % 7}", "aa" if i % 2 else "bb") for i in range(900)]
+    rows += [(5000 + i, words["cc"] + f" {i}", "cc") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(frame, most_rows=100, least_rows=20)
+    assert model.languages == ["aa", "bb", "cc"]
+    asked = spark.createDataFrame([(1, "zzyzx qwrtp", "x", 1)], "doc_id long, text string, score string, lang_pred int")
+    found = language_id.predict_languages(asked, model)
+    assert found.columns == ["doc_id", "text", "score", "lang_pred", "lang_pred_", "score_"]
+    row = found.first()
+    assert (row.score, row.lang_pred, row.lang_pred_) == ("x", 1, "cc")
+
+
+def language_by_loops(rows, asked, landmarks):
+    """Kernel ridge with the same landmarks, kernels counted by sets of hashed n-grams."""
+    bits = {text: np.concatenate([b for _, b in language_id.presence(pa.array([text]))])[0] for text in {*rows, *asked}}
+    grams = {text: frozenset(np.flatnonzero(b)) for text, b in bits.items()}
+    kernel = lambda a, b: len(grams[a] & grams[b]) / max((len(grams[a]) * len(grams[b])) ** 0.5, 1e-30)
+    marks = np.array([[kernel(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(marks)
+    kept = values > 1e-6 * values.max()
+    basis = vectors[:, kept] / np.sqrt(values[kept])
+    names = sorted(set(rows.values()))
+    z = lambda text: np.concatenate([[1.0], np.array([kernel(text, m) for m in landmarks]) @ basis])
+    seen = np.array([z(text) for text in rows])
+    truth = np.array([[float(of == name) for name in names] for of in rows.values()])
+    damp = np.full(seen.shape[1], language_id.RIDGE * len(seen) / seen.shape[1])
+    damp[0] = 1e-6
+    solved = np.linalg.solve(seen.T @ seen + np.diag(damp), seen.T @ truth)
+    return {text: names[int((z(text) @ solved).argmax())] for text in asked}
+
+
+def test_language_against_kernels_of_sets(spark):
+    rng = np.random.default_rng(8)
+    stems = {"aa": ["alp", "ort", "ine"], "bb": ["umb", "oft", "yre"], "cc": ["zza", "ekk", "oon"]}
+    make = lambda name: " ".join("".join(rng.choice(stems[name], 2)) for _ in range(6))
+    rows = {}
+    for i in range(60):
+        rows.setdefault(make("abc"[i % 3] * 2), "abc"[i % 3] * 2)
+    data = [(i, text, of) for i, (text, of) in enumerate(rows.items())]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    used = {text: of for i, text, of in data if zlib.crc32(str(i).encode()) % 4 != 2}
+    model = language_id.fit_languages(frame, landmarks=3 * len(data))
+    asked = list(rows)
+    want = language_by_loops(used, asked, sorted(used))
+    got = dict(zip(asked, model.predict(pa.array(asked))[0], strict=True))
+    assert got == want
+
+
 def test_presence_bits_against_sets():
     texts = ["Abab é", "", "xyz"]
     rows = np.concatenate([bits for _, bits in language_id.presence(pa.array(texts))])
