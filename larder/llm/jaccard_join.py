@@ -21,8 +21,7 @@ Under a threshold of 85/100 segments hold so few shingles that most would meet b
 sets meet by the shingles of their prefixes instead, within a level: in any one order of all
 shingles, linked sets share one of their first ``size - ceil(size * num / den) + 1``. The order
 puts rare shingles first, by the magnitude of counts in hash buckets, a byte each; which order
-it is has no effect on the links, only on how many sets meet that have none. A shingle alone in
-its bucket is in one text only and brings no sets together.
+it is has no effect on the links, only on how many sets meet that have none.
 
 A block of many shingles is dealt out as pairs of chunks, each with bounded memory, and
 their links are joined to components afterwards.
@@ -48,7 +47,6 @@ MOST_RANK_BITS = 25
 CHUNK_SHINGLES = 1_000_000
 BITS = 1 << 24
 PAGE = 2048
-ONE = 8
 
 
 @dataclass(frozen=True)
@@ -155,16 +153,12 @@ def _prefix_keys(
     grams: np.ndarray, bounds: np.ndarray, rule: Rule, ranks: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) for every shingle in the prefix of a text's set, the least ``ranks`` first.
-
-    Shingles that only one text has are left out, for they meet nothing.
     Sets meet within a level only: in their own, and in that of the largest set they link with.
     """
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    rank = ranks[_rank_bucket(grams, len(ranks))]
-    order = np.lexsort((grams, rank, owner))
+    order = np.lexsort((grams, ranks[_rank_bucket(grams, len(ranks))], owner))
     used = np.arange(len(grams)) - bounds[:-1][owner] < rule.prefix(sizes)[owner]
-    used &= rank[order] > ONE
     text, gram = owner[used], grams[order][used]
     own = np.searchsorted(rule.levels, sizes, side="right") - 1
     above = np.searchsorted(rule.levels, sizes * rule.den // rule.num, side="right") - 1
@@ -183,7 +177,7 @@ def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
 
     A bucket or two for each shingle up to the bound on buckets. Each task gives its counts,
     up to 255, in pages of 2 KB; those of a page are added up one after the other, so no task
-    holds many. Only a count of one has the rank ``ONE``.
+    holds many.
     """
     buckets = 1 << min(max(shingles, PAGE).bit_length(), MOST_RANK_BITS)
     pages = max(buckets // PAGE, 1)
@@ -204,7 +198,7 @@ def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
         current, total = None, np.zeros(0, dtype=np.uint64)
 
         def ranked() -> pa.RecordBatch:
-            ranks = np.minimum(ONE * np.log2(total + 1.0), 255).astype(np.uint8)
+            ranks = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)
             return pa.RecordBatch.from_arrays(
                 [pa.array([current], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["page", "part"]
             )

@@ -42,6 +42,7 @@ PREFIX_BYTES = 5
 WINDOW = 16
 DISCOUNT = 0.75
 N_FEATURES = 8
+MOST_SHIPPED = 2_000_000
 
 
 def _buckets(
@@ -186,6 +187,11 @@ class ToxicityModel:
         return out
 
 
+def _shippable(labels: DataFrame) -> DataFrame:
+    """The labels, marked for a broadcast if they are few enough."""
+    return F.broadcast(labels) if labels.count() <= MOST_SHIPPED else labels
+
+
 def fit_toxicity(
     documents: DataFrame,
     labels: DataFrame,
@@ -197,14 +203,14 @@ def fit_toxicity(
     """Learns from documents whose id is labelled and not kept out.
 
     Contexts are counted from all of them; ``most_rows`` bounds those the regression is fitted
-    on, a share by id hash. Labels are joined by id, as their size allows. Labels without a
-    document, or documents without text, add nothing. Without a text of either class the score is the
+    on, a share by id hash. Up to ``MOST_SHIPPED`` labels, 16 bytes each, are broadcast; more
+    are joined by a shuffle. Labels without a document, or documents without text, add nothing. Without a text of either class the score is the
     share of toxic labels for every text, or 0 without labels.
     """
     spark = documents.sparkSession
     known = training_labels(labels, column, modulus, kept_out, most_rows=1 << 62)
     texts = documents.select("doc_id", "text")
-    train = texts.join(known, "doc_id").select("text", "label")
+    train = texts.join(_shippable(known), "doc_id").select("text", "label")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +269,7 @@ def fit_toxicity(
 
     names = ["label", *(f"f{i}" for i in range(N_FEATURES))]
     fitted = hashed_sample(known, F.col("doc_id"), most_rows)
-    fit = texts.join(fitted, "doc_id").select("text", "label")
+    fit = texts.join(_shippable(fitted), "doc_id").select("text", "label")
     sample = fit.mapInArrow(features, ", ".join(f"{name} double" for name in names)).toArrow()
     data = np.stack([sample.column(name).to_numpy() for name in names], axis=1)
     data = data[np.lexsort(data.T)]  # the fit must not depend on the order of partitions
