@@ -429,6 +429,13 @@ def _components(documents: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _bits_of(df: DataFrame, column: str) -> DataFrame:
+    """(place, bits): the ids of a column, modulo BITS, as bits of at most BITS / 64 numbers."""
+    return df.groupBy(F.expr(f"shiftright(pmod({column}, {BITS}), 6)").alias("place")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({column}, {BITS}) % 64 AS INT))")).alias("bits")
+    )
+
+
 def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """(sig, root): each set of the blocks with the least signature found linked to it."""
     chunked = active.join(sizes, F.col("root") == F.col("block"))
@@ -440,10 +447,7 @@ def _links(texts: DataFrame, active: DataFrame, sizes: DataFrame, rule: Rule) ->
         "chunked",
     )
 
-    bit = F.pmod("rep", F.lit(BITS))
-    field = chunked.groupBy(F.shiftright(bit, 6).alias("place")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(rep, {BITS}) % 64 AS INT))")).alias("bits")
-    ).toArrow()  # BITS / 64 rows at most
+    field = _bits_of(chunked, "rep").toArrow()  # BITS / 64 rows at most
     maybe = np.zeros(BITS // 64, dtype=np.uint64)
     maybe[field.column("place").to_numpy()] = field.column("bits").to_numpy().view(np.uint64)
     shipped = texts.sparkSession.sparkContext.broadcast(maybe)
@@ -513,19 +517,28 @@ def drop_similar(documents: DataFrame, rule: Rule = OP2) -> DataFrame:
     Rows without words or without doc_id stay. Of rows of a component that repeat its smallest
     doc_id one stays, that with the smallest hash of its text; rows that repeat an id in
     another component stay too. ``documents`` is read several times and should be a stored
-    table.
+    table. Rows that are alone in their component stay where they are: only texts whose id
+    shares a bit with one of a larger component are shuffled to the exact join.
     """
     plain = [f"c{i}" for i in range(len(documents.columns))]
     place = {name: plain[i] for i, name in enumerate(documents.columns)}
     rows = documents.toDF(*plain)
     ids, texts = F.col(place["doc_id"]), F.col(place["text"])
     found = _components(rows.select(ids.alias("doc_id"), texts.alias("text")), rule)
+    found = found.where("group IS NOT NULL AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "mark")).alias("first")
-    kept = found.where("group IS NOT NULL AND doc_id IS NOT NULL").groupBy("group").agg(first)
-    kept = kept.select("first.*").distinct()
+    groups = found.groupBy("group").agg(first, F.count("*").alias("members"))
+    kept = groups.select("first.*").distinct()
+    several = found.join(groups.where("members > 1"), "group", "left_semi")
+    field = F.broadcast(stage(_bits_of(several, "doc_id"), "several"))  # 4 MB at most
+    number = F.pmod(ids.cast("long"), F.lit(BITS))
+    marked = rows.join(field, F.shiftright(number, 6) == F.col("place"), "left")
+    bit = F.call_function("shiftright", F.col("bits"), (number % 64).cast("int"))
+    doubtful = F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
     alone = ids.isNull() | ~F.coalesce(texts.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     same = (ids.cast("long") == F.col("doc_id")) & (F.xxhash64(texts) == F.col("mark"))
-    chosen = rows.where(~alone).join(kept, same, "left_semi")
+    chosen = marked.where(~alone & doubtful).select(*plain).join(kept, same, "left_semi")
     repeats = Window.partitionBy(ids, F.xxhash64(texts)).orderBy(ids)
     once = chosen.withColumn("turn", F.row_number().over(repeats)).where("turn = 1").drop("turn")
-    return rows.where(alone).unionByName(once).toDF(*documents.columns)
+    sure = marked.where(alone | ~doubtful).select(*plain)
+    return sure.unionByName(once).toDF(*documents.columns)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -180,3 +181,17 @@ def test_unfinished_components_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
     with pytest.raises(RuntimeError):
         common.components(chain, most_rounds=1)
+
+
+def test_rows_alone_stay_beside_ids_of_one_bit(spark):
+    """Ids that share a bit with a dropped copy, that repeat, or are negative stay where they are alone."""
+    step = jaccard_join.BITS
+    copies = [(i, "one text that three rows of this table have in common") for i in (step + 2, 2, -4)]
+    lone = [(2 + 2 * step, "a text of its own"), (-4, "the smallest id once more"), (-5, "below zero"), (6, "x")]
+    blank = [(2, " \n"), (2, None), (None, "no id at all"), (step + 2, "")]
+    frame = spark.createDataFrame([(*r, r[0]) for r in copies + lone + blank], "doc_id long, text string, bits long")
+    kept = Counter(tuple(r) for r in drop_similar(frame).collect())
+    assert kept == Counter((*r, r[0]) for r in copies[2:] + lone + blank)
+    once = frame.where("text = 'below zero'")
+    plan = drop_similar(once)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Cartesian" not in plan and drop_similar(once).count() == 1
