@@ -28,7 +28,49 @@ def values(frame):
     return sorted(tuple(map(str, row)) for row in frame.collect())
 
 
+def test_landed_documents_are_compressed(tables, tmp_path, monkeypatch):
+    """They are not joined again for their number of parts, and the batch leaves no placed items."""
+    monkeypatch.setattr(reports, "_folder", lambda t, name: str(tmp_path / name))
+    assert reports.stream_order_ingest(tables).count() > 0
+    landed = list((tmp_path / "order-ingest" / "landing").glob("part-*"))
+    assert landed and all(path.name.endswith(".json.gz") for path in landed)
+    placed = Path(tmp_path / "order-ingest" / "staging" / "batch=0" / "placed")
+    assert placed.exists() and tables.spark.read.parquet(str(placed)).count() == 0
+
+
+def test_numbered_documents_count_their_parts(tables):
+    rows = reports._numbered_documents(tables).select("delivery", "part", "parts").collect()
+    there = {}
+    for row in rows:
+        there.setdefault((row.delivery, row.parts), set()).add(row.part)
+    assert rows and all(len(parts) == wanted for (_, wanted), parts in there.items())
+    assert len({delivery for delivery, _ in there}) == len(there) == tables.raw_order_header.count()
+
+
 def test_items_are_nested_where_they_meet_their_headers(tables):
     text = plan(tables.documents)
     assert re.search(r"hashpartitioning\(src_key#\d+L?, \d+\)", text)
     assert not re.search(r"hashpartitioning\(src_key#\d+L?, part", text)
+
+
+@pytest.mark.parametrize("update", [False, True])
+def test_placed_items_merge_as_plain_ones(spark, update):
+    resolved = spark.createDataFrame(
+        [(7, 1, False, 10), (8, 2, True, 20), (9, 3, True, None)],
+        "platform_order_id bigint, id bigint, is_new boolean, first_arrival bigint",
+    )
+    lines = spark.createDataFrame(
+        [(10, 0, 0, 7, 1, 5, 6), (20, 0, 0, 8, 1, None, None), (20, 0, 0, 8, 1, None, None), (21, 0, 0, 8, 1, 4, None),
+         (22, 0, 0, None, 1, 4, 4), (30, 0, 0, 9, 1, 1, 1)],
+        "arrival bigint, part int, pos int, platform_order_id bigint, platform_item_id bigint, "
+        "nfe_bling_id bigint, sale_order_bling_id bigint",
+    )
+    target = spark.createDataFrame(
+        [(1, 1, None, 2), (1, 1, None, 2), (1, None, 3, 3)],
+        "order_id bigint, platform_item_id bigint, nfe_bling_id bigint, sale_order_bling_id bigint",
+    )
+    placed = order_merge.placed_items(resolved, lines, update)
+    plain = order_merge.merge_order_items(target, resolved, lines, update)
+    assert values(order_merge.merge_order_items(target, resolved, placed, update)) == values(plain)
+    new = [order_merge.inserted_items(resolved, rows).select("order_id", "arrival") for rows in (placed, lines)]
+    assert values(new[0]) == values(new[1]) == [("2", "20"), ("2", "20")]
