@@ -403,8 +403,9 @@ def _merged_orders(t: TestTables, update_existing: bool) -> DataFrame:
 def _merged_items(t: TestTables, update_existing: bool) -> DataFrame:
     typed = staged(ingest.type_documents(t.documents), "typed")
     resolved = _resolved(t, update_existing, ingest.headers_of(typed))
+    placed = staged(order_merge.placed_items(resolved, ingest.items_of(typed), update_existing), "placed")
     return order_merge.merge_order_items(
-        t.supplier_order_item, resolved, ingest.items_of(typed), update_existing, after_id=F.lit(0)
+        t.supplier_order_item, resolved, placed, update_existing, after_id=F.lit(0)
     )
 
 

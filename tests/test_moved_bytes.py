@@ -53,6 +53,13 @@ def test_items_are_nested_where_they_meet_their_headers(tables):
     assert not re.search(r"hashpartitioning\(src_key#\d+L?, part", text)
 
 
+@pytest.mark.parametrize("name", ["merge_order_items", "merge_order_items_insert_only"])
+def test_items_are_joined_with_their_orders_once(tables, name):
+    files = reports.REPORTS[name](tables).inputFiles()
+    assert any("/placed/" in file for file in files)
+    assert not any("/resolved/" in file for file in files)
+
+
 @pytest.mark.parametrize("update", [False, True])
 def test_placed_items_merge_as_plain_ones(spark, update):
     resolved = spark.createDataFrame(
