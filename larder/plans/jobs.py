@@ -111,10 +111,10 @@ def sync_mapping(tables: VersionedTables, mapping: DataFrame, batch: int) -> int
     ranges = [number // 2 for number in filled]
     moved = staged(mapping_sync(tables.read(ITEMS, list(filled)), mapping), "synced")
     placed = moved.withColumn(RANGE, item_range(F.floor(F.col(RANGE) / 2), F.col("local_product_id")))
-    rows = tables.read(ITEMS, item_ranges(ranges, missing=False)).unionByName(placed.drop("filled"))
-    frames = {ITEMS: rows}
+    stored = tables.read(ITEMS, item_ranges(ranges, missing=False))
+    frames = {ITEMS: placed.drop("filled")}
     if TOTALS in tables.schemas:
         delta = mapped_delta(placed.where("filled").withColumn(RANGE, F.floor(F.col(RANGE) / 2)), RANGE)
         frames[TOTALS] = add_totals(tables.read(TOTALS, ranges), delta, RANGE)
-    tables.publish(frames, batch, opened={ITEMS: item_ranges(ranges)})
+    tables.publish(frames, batch, opened={ITEMS: item_ranges(ranges)}, kept={ITEMS: stored})
     return sum(filled.values())

@@ -81,3 +81,23 @@ def test_placed_items_merge_as_plain_ones(spark, update):
     assert values(order_merge.merge_order_items(target, resolved, placed, update)) == values(plain)
     new = [order_merge.inserted_items(resolved, rows).select("order_id", "arrival") for rows in (placed, lines)]
     assert values(new[0]) == values(new[1]) == [("2", "20"), ("2", "20")]
+
+
+def test_stored_items_are_read_from_the_tables_once(tables, monkeypatch):
+    reads, numbered = [], reports._numbered_items
+    monkeypatch.setattr(reports, "_numbered_items", lambda t: reads.append(1) or numbered(t))
+    reports.supplier_orders_summary_stored(tables)
+    assert len(reads) == 1
+
+
+def test_kept_rows_stay_in_their_ranges(spark, tmp_path):
+    """A batch shuffles its own rows, and no stored ones."""
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    stored = VersionedTables(spark, str(tmp_path), {"t": kind})
+    first = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], kind).withColumn(RANGE, F.col("id"))
+    stored.publish({"t": first}, 0)
+    second = spark.createDataFrame([(2, "b"), (5, "c")], kind).withColumn(RANGE, F.col("id"))
+    stored.publish({"t": second}, 1, kept={"t": stored.read("t")})
+    got = values(stored.read("t").select("id", "name", RANGE))
+    assert got == [("1", "a", "1"), ("1", "a", "1"), ("2", "None", "2"), ("2", "b", "2"), ("5", "c", "5")]
+    assert stored.ranges("t") == [1, 2, 5] and stored.highest_id("t") == 5
