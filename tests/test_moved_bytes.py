@@ -101,3 +101,18 @@ def test_kept_rows_stay_in_their_ranges(spark, tmp_path):
     got = values(stored.read("t").select("id", "name", RANGE))
     assert got == [("1", "a", "1"), ("1", "a", "1"), ("2", "None", "2"), ("2", "b", "2"), ("5", "c", "5")]
     assert stored.ranges("t") == [1, 2, 5] and stored.highest_id("t") == 5
+
+
+def test_bitmaps_are_made_after_the_shuffle(spark):
+    items = spark.createDataFrame(
+        [(1, "a", "2000-01-02"), (40_000, "a", "2000-01-02"), (1, "a", "2000-02-02"), (1, None, "2000-02-25")],
+        "order_id bigint, external_category string, created_at string",
+    ).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    orders = spark.createDataFrame([(1, 1), (40_000, None)], "id bigint, type_of_load int")
+    bitmaps = totals.monthly_order_bitmaps(items, orders)
+    counts = totals.category_order_counts(bitmaps, items, orders, "2000-01-01", "2000-02-20")
+    for frame, made in ((bitmaps, "bitmap_construct_agg"), (counts, "bitmap_or_agg")):
+        text = plan(frame)
+        dealt = re.search(r"Exchange hashpartitioning\([^)]*bucket", text)
+        assert made in text[: dealt.start()] and made not in text[dealt.end():]
+    assert values(counts) == [("a", "1", "1"), ("a", "None", "1")]
