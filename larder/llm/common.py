@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import shared_folder
+from larder.session import discard, shared_folder, write
 
 #: Words of all contracts here: runs of anything but these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,10 +43,8 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
     Cuts the lineage with a table that outlives executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/larder-llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/larder-llm/{name}-{uuid.uuid4().hex}"
+    return write(df, path, compression=compression)
 
 
 def training_labels(
@@ -143,7 +141,8 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = stage(small, "edges")
+        before, current = current, stage(small, "edges")
+        discard(before)
         now = current.agg(
             F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))
         ).first()

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import components, stage
 from larder.llm.textarrays import Words, mix, words_of
+from larder.session import releasing
 
 SPARE = 2
 LEAST_SEGMENT_THRESHOLD = 0.85
@@ -177,7 +178,8 @@ def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
 
     A bucket or two for each shingle up to the bound on buckets. Each task gives its counts,
     up to 255, in pages of 2 KB; those of a page are added up one after the other, so no task
-    holds many.
+    holds many. A task gives a byte a bucket whatever it reads, so there are no more tasks
+    than keep all of them busy, or than four shingles a byte ask for.
     """
     buckets = 1 << min(max(shingles, PAGE).bit_length(), MOST_RANK_BITS)
     pages = max(buckets // PAGE, 1)
@@ -215,11 +217,14 @@ def _shingle_ranks(texts: DataFrame, rule: Rule, shingles: int) -> np.ndarray:
         if current is not None:
             yield ranked()
 
-    parts = texts.select("text").mapInArrow(count, "page int, part binary")
-    rows = parts.repartition("page").sortWithinPartitions("page").mapInArrow(add, "page int, part binary")
+    spark = texts.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, shingles // (4 * buckets))
     ranks = np.zeros(buckets, dtype=np.uint8)
-    for row in rows.collect():  # MOST_RANK_BITS bound their bytes
-        ranks[row.page * PAGE :][: len(row.part)] = np.frombuffer(row.part, dtype=np.uint8)
+    with releasing(spark):
+        parts = texts.select("text").coalesce(tasks).mapInArrow(count, "page int, part binary")
+        rows = parts.repartition("page").sortWithinPartitions("page").mapInArrow(add, "page int, part binary")
+        for row in rows.collect():  # MOST_RANK_BITS bound their bytes
+            ranks[row.page * PAGE :][: len(row.part)] = np.frombuffer(row.part, dtype=np.uint8)
     return ranks
 
 
@@ -376,14 +381,21 @@ def _components(documents: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of each set, once a task however many of its texts have that set."""
+        seen = set()
         for batch in batches:
             for words in words_of(batch.column(1)):
                 grams, bounds = _sets(words, rule.n)
-                one, _ = _signatures(grams, bounds)
+                one, two = _signatures(grams, bounds)
+                fresh = np.zeros(len(one), dtype=bool)
+                for i, both in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                    fresh[i] = both not in seen
+                    seen.add(both)
                 if rule.by_segments:
                     text, key = _keys(grams, bounds, rule)
                 else:
                     text, key = _prefix_keys(grams, bounds, rule, ranks.value)
+                text, key = text[fresh[text]], key[fresh[text]]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[text])], names=["key", "sig"])
 
     sets = stage(
@@ -399,7 +411,8 @@ def _components(documents: DataFrame, rule: Rule) -> DataFrame:
     if not rule.by_segments:
         shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
         ranks = texts.sparkSession.sparkContext.broadcast(_shingle_ranks(texts, rule, shingles))
-    met = texts.mapInArrow(postings, "key long, sig long").distinct()
+    # Shuffled once, by key: what several tasks say of one set gives an edge twice at most.
+    met = texts.mapInArrow(postings, "key long, sig long")
     running = Window.partitionBy("key").orderBy("sig").rowsBetween(Window.unboundedPreceding, 0)
     edges = met.select(F.col("sig").alias("a"), F.first("sig").over(running).alias("b")).where("a <> b")
     blocks = components(edges)
